@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import urlfilter
+from . import mixing, tokenbin, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op3_url_filters": urlfilter.op3_url_filters}
+    return {
+        "op3_url_filters": urlfilter.op3_url_filters,
+        "op8_mix": mixing.op8_mix,
+        "op10_token_ids": tokenbin.op10_token_ids,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
