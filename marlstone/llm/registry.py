@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, tokenbin, urlfilter
+from . import mixing, pii, secrets, tokenbin, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,8 @@ def queries() -> dict[str, Query]:
     return {
         "op3_url_filters": urlfilter.op3_url_filters,
         "op8_mix": mixing.op8_mix,
+        "op2_secrets": secrets.op2_secrets,
+        "op9_pii": pii.op9_pii,
         "op10_token_ids": tokenbin.op10_token_ids,
     }
 
