@@ -2,8 +2,9 @@
 
 Documents are dealt by ranges of their ids, so the shards in order hold all documents in ascending id. One file is
 
-    magic | ids: uint32 LE, each document's followed by the end id | row table | index | description (JSON) | its size
+    magic | ids, each document's followed by the end id | row table | index | description (JSON) | its size
 
+Ids are raw little-endian unsigned integers of the least width that holds the vocabulary, 16 or 32 bits.
 The row table has the key, a null flag and the first id's place of every document. The index maps a key by a minimal
 perfect hash to a slot with a 32-bit fingerprint and the first row of that key: keyed access in constant time
 (``Shard.rows``). Files are written under a name of the attempt's own and then renamed, so a task that is run again
@@ -32,7 +33,9 @@ from .perfecthash import PerfectHash, fingerprints, mix
 MAGIC = b"MARLSHD1"
 END_ID = 0
 #: Characters that are tokenized together, and units that a worker keeps.
-BLOCK_CHARS, MEMO_UNITS, MEMO_LENGTH = 1 << 20, 500_000, 64
+BLOCK_CHARS, MEMO_UNITS, MEMO_LENGTH = 1 << 20, 1_200_000, 64
+#: Letters of the Latin blocks, each of which the splitting pattern takes for a letter.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 _NULL_KEY = np.uint64(0xA5A5A5A55A5A5A5A)
 _CODERS: dict[str, Coder] = {}
 
@@ -41,8 +44,9 @@ class Coder:
     """The tokenizers library's encoding, with a memo of the units between which its splitting pattern always cuts.
 
     A byte-level BPE's pattern never lets a piece cross from a run of other characters to white space, save one
-    blank before the run. So the ids of a text are those of its units in turn, and each different unit is encoded
-    once. Texts in which the library's idea of white space or special tokens could cut elsewhere go to it whole.
+    blank before the run, nor from Latin letters to ASCII digits and marks or back, save at an apostrophe. So the ids
+    of a text are those of its units in turn, and each different unit is encoded once. Texts in which the library's
+    idea of white space or special tokens could cut elsewhere go to it whole.
     """
 
     def __init__(self, path: str):
@@ -51,7 +55,9 @@ class Coder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
-        self.units = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        letters, marks = rf" ?[{_LETTERS}]++(?=[\x00-\x7f]|\Z)", rf" ?[!-&(-@\[-`{{-~]++(?=[{_LETTERS}\s]|\Z)"
+        self.units = re.compile(rf"{letters}|{marks}| ?\S+|\s+(?!\S)|\s+")
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join(["[\x1c-\x1f]", *map(re.escape, special)]))
         split = self.tokenizer.encode("\n", add_special_tokens=False).ids
@@ -63,7 +69,10 @@ class Coder:
         return kind["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") is True and not pre.get("add_prefix_space")
 
     def _direct(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self._ids(text).tobytes()
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
     def _learn(self, units: list[str]) -> None:
         """Encode new units, joined by a line break, whose id no unit has."""
@@ -73,16 +82,16 @@ class Coder:
                 self.memo[u] = self._direct(u)
         for lo in range(0, len(plain), 20_000):
             some = plain[lo : lo + 20_000]
-            ids = np.array(self.tokenizer.encode("\n".join(some), add_special_tokens=False).ids, "<u4")
+            ids = self._ids("\n".join(some))
             cuts = np.flatnonzero(ids == self.split)
             if len(cuts) != len(some) - 1:
                 raise RuntimeError("the tokenizer's pieces cross a line break")
             raw = ids.tobytes()
-            begins, ends = [0, *(cuts * 4 + 4).tolist()], [*(cuts * 4).tolist(), len(raw)]
+            begins, ends = [0, *((cuts + 1) * ids.itemsize).tolist()], [*(cuts * ids.itemsize).tolist(), len(raw)]
             self.memo.update((u, raw[a:b]) for u, a, b in zip(some, begins, ends, strict=True))
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
-        """Of each text, the ids as little-endian unsigned 32-bit integers."""
+        """Of each text, the ids as raw integers of this coder's dtype."""
         texts = list(texts)
         if self.split is None:
             return [self._direct(t) for t in texts]
@@ -120,7 +129,8 @@ def _hashed(keys: np.ndarray, nulls: np.ndarray) -> np.ndarray:
 class ShardWriter:
     """Writes one file; documents must come in the order of their keys, equal keys together."""
 
-    def __init__(self, folder: str, name: str):
+    def __init__(self, folder: str, name: str, dtype: str):
+        self.dtype = np.dtype(dtype)
         self.fs, self.folder = pafs.FileSystem.from_uri(folder)
         self.fs.create_dir(self.folder, recursive=True)
         self.name, self.attempt = f"{self.folder}/{name}.ids", f"{self.folder}/.{name}-{uuid.uuid4().hex}"
@@ -134,7 +144,7 @@ class ShardWriter:
         self.out.write(ids)
         self.keys.append(0 if key is None else key)
         self.nulls.append(key is None)
-        self.sizes.append(len(ids) // 4)
+        self.sizes.append(len(ids) // self.dtype.itemsize)
 
     def close(self) -> dict:
         keys, nulls = np.array(self.keys, np.int64), np.array(self.nulls, bool)
@@ -145,7 +155,7 @@ class ShardWriter:
         prints, rows = np.zeros(len(hashed), np.uint32), np.zeros(len(hashed), np.uint32)
         prints[slots], rows[slots] = fingerprints(hashed), first
         parts = {"keys": keys, "nulls": nulls, "begins": begins, "level_sizes": index.sizes, "bits": np.packbits(index.bits), "prints": prints, "rows": rows}
-        at, described = len(MAGIC) + 4 * int(begins[-1]), {"places": len(index.bits)}
+        at, described = len(MAGIC) + self.dtype.itemsize * int(begins[-1]), {"places": len(index.bits), "dtype": self.dtype.str}
         for k, v in parts.items():
             described[k] = [at, v.dtype.str, len(v)]
             self.out.write(v.tobytes())
@@ -168,7 +178,8 @@ class Shard:
             raise ValueError(f"{name} isn't a shard")
         length = int.from_bytes(self.file.read_at(8, size - 8), "little")
         described = json.loads(self.file.read_at(length, size - 8 - length))
-        part = {k: np.frombuffer(self.file.read_at(np.dtype(v[1]).itemsize * v[2], v[0]), v[1]) for k, v in described.items() if k != "places"}
+        part = {k: np.frombuffer(self.file.read_at(np.dtype(v[1]).itemsize * v[2], v[0]), v[1]) for k, v in described.items() if isinstance(v, list)}
+        self.dtype = np.dtype(described["dtype"])
         self.keys, self.nulls, self.begins, self.prints, self.first = (part[k] for k in ("keys", "nulls", "begins", "prints", "rows"))
         self.index = PerfectHash(part["level_sizes"], np.unpackbits(part["bits"], count=described["places"]).astype(bool))
 
@@ -188,7 +199,10 @@ class Shard:
         return found
 
     def payload(self, lo: int, hi: int) -> bytes:
-        return self.file.read_at(4 * int(self.begins[hi] - self.begins[lo]), len(MAGIC) + 4 * int(self.begins[lo]))
+        """The ids of the rows from lo to hi as little-endian unsigned 32-bit integers."""
+        wide = self.dtype.itemsize
+        raw = self.file.read_at(wide * int(self.begins[hi] - self.begins[lo]), len(MAGIC) + wide * int(self.begins[lo]))
+        return np.frombuffer(raw, self.dtype).astype("<u4").tobytes()
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id", text: str = "text") -> list[dict]:
@@ -202,7 +216,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        end = np.array([END_ID], "<u4").tobytes()
+        own = coder(tokenizer)
+        end = np.array([END_ID], own.dtype).tobytes()
         writer, first, number = None, None, TaskContext.get().partitionId()
         for batch in batches:
             keys, texts, ties = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
@@ -210,9 +225,9 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_i
             lo = 0
             while lo < len(keys):
                 hi = max(lo + 1, int(np.searchsorted(lengths, (lengths[lo - 1] if lo else 0) + BLOCK_CHARS)))
-                for k, ids in zip(keys[lo:hi], coder(tokenizer).encode(texts[lo:hi].to_pylist()), strict=True):
+                for k, ids in zip(keys[lo:hi], own.encode(texts[lo:hi].to_pylist()), strict=True):
                     if writer is None:
-                        writer, first = ShardWriter(folder, f"shard-{number:06d}"), (k, ties[lo].as_py())
+                        writer, first = ShardWriter(folder, f"shard-{number:06d}", own.dtype), (k, ties[lo].as_py())
                     writer.add(k, ids + end)
                 lo = hi
         if writer is not None:
