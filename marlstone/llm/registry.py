@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, pii, secrets, simhash, tokenbin, urlfilter
+from . import decontam, mixing, pii, quality, secrets, simhash, tokenbin, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op3_url_filters": urlfilter.op3_url_filters,
         "op8_mix": mixing.op8_mix,
         "op2_secrets": secrets.op2_secrets,
+        "op5_quality": quality.op5_quality,
         "op6_decontaminate": decontam.op6_decontaminate,
         "op7_simhash": simhash.op7_simhash,
         "op9_pii": pii.op9_pii,
