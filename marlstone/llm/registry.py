@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, pii, quality, secrets, simhash, tokenbin, urlfilter
+from . import decontam, lmscore, mixing, pii, quality, secrets, simhash, tokenbin, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op3_url_filters": urlfilter.op3_url_filters,
         "op8_mix": mixing.op8_mix,
+        "op1_lm_score": lmscore.op1_lm_score,
         "op2_secrets": secrets.op2_secrets,
         "op5_quality": quality.op5_quality,
         "op6_decontaminate": decontam.op6_decontaminate,
