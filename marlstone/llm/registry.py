@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, lmscore, mixing, pii, quality, secrets, simhash, tokenbin, urlfilter
+from . import decontam, htmlextract, lmscore, mixing, pii, quality, secrets, simhash, tokenbin, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op8_mix": mixing.op8_mix,
         "op1_lm_score": lmscore.op1_lm_score,
         "op2_secrets": secrets.op2_secrets,
+        "op4_html_text": htmlextract.op4_html_text,
         "op5_quality": quality.op5_quality,
         "op6_decontaminate": decontam.op6_decontaminate,
         "op7_simhash": simhash.op7_simhash,
