@@ -23,22 +23,38 @@ THRESHOLD = -0.5
 LEAST_WORDS = 50
 
 
-def _grams(here: Column, following: Column, buckets: int) -> list[Column]:
-    """The n-grams of a word and the next one (null at the end), as buckets."""
-    raw = [F.xxhash64(F.lit(1), here), F.xxhash64(F.lit(2), here, following), F.xxhash64(F.lit(3), F.right(here, F.lit(3)))]
-    return [F.pmod(h, F.lit(buckets)).cast("int") for h in raw]
+def _bucket(hashed: Column, buckets: int) -> Column:
+    """buckets is a power of two."""
+    return hashed.bitwiseAND(F.lit(buckets - 1)).cast("int")
 
 
-def _with_next(words: Column) -> Column:
-    return F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
+def _ending(word: Column, buckets: int) -> Column:
+    return _bucket(F.xxhash64(F.lit(3), F.substring(word, -3, 3)), buckets)
+
+
+def _pair(here: Column, following: Column, buckets: int) -> Column:
+    """Of two words' hashes; the following one is null at the end."""
+    return _bucket(F.xxhash64(here, following), buckets)
+
+
+def word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _after(array: Column) -> Column:
+    return F.slice(array, F.lit(2), F.greatest(F.size(array) - 1, F.lit(0)))
 
 
 def bucket_counts(docs: DataFrame, trusted: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
     """docs counted by bucket: raw (all) and target (those whose key is in trusted, a bounded set of distinct keys)."""
     worded = docs.select(F.col(key).alias("key"), common.words(F.col(text)).alias("words"))
     marked = worded.join(F.broadcast(trusted.select(F.col(key).alias("trusted"))), F.col("key") == F.col("trusted"), "left")
-    grams = F.flatten(F.zip_with("words", _with_next(F.col("words")), lambda a, b: F.array(*_grams(a, b, buckets))))
-    exploded = marked.select(F.col("trusted").isNotNull().alias("target"), F.explode(grams).alias("bucket"))
+
+    def grams(hashes: Column) -> Column:
+        single = F.transform(hashes, lambda h: _bucket(h, buckets))
+        return F.concat(single, F.zip_with(hashes, _after(hashes), lambda a, b: _pair(a, b, buckets)), F.transform("words", lambda w: _ending(w, buckets)))
+
+    exploded = marked.select(F.col("trusted").isNotNull().alias("target"), F.explode(let(word_hashes(F.col("words")), grams)).alias("bucket"))
     return exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count_if("target").alias("target"))
 
 
@@ -53,18 +69,18 @@ def log_ratios(counts: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR)
     return [math.log((t + prior) / all_target) - math.log((n + prior) / all_raw) for t, n in zip(target, raw, strict=True)]
 
 
-def score(words: Column, ratios: list[float]) -> Column:
-    """The mean log ratio of a text's n-grams; 0 without words."""
+def score(words: Column, hashes: Column, ratios: list[float]) -> Column:
+    """The mean log ratio of a text's n-grams, from its words and their hashes; 0 without words."""
     buckets = len(ratios)
     # As one string literal that the optimizer folds to an array.
     table = F.split(F.lit(",".join(f"{x:.5g}" for x in ratios)), ",").cast("array<double>")
-    each = F.zip_with(words, _with_next(words), lambda a, b: sum((F.get(table, g) for g in _grams(a, b, buckets)), F.lit(0.0)))
-    total = F.aggregate(each, F.lit(0.0), lambda done, x: done + x)
+    each = F.zip_with(hashes, _after(hashes), lambda a, b: F.get(table, _bucket(a, buckets)) + F.get(table, _pair(a, b, buckets)))
+    total = F.aggregate(each, F.lit(0.0), lambda done, x: done + x) + F.aggregate(words, F.lit(0.0), lambda done, w: done + F.get(table, _ending(w, buckets)))
     return F.when(F.size(words) > 0, total / (3 * F.size(words))).otherwise(0.0)
 
 
 def repeated_words(words: Column) -> Column:
-    """Words that lie in 3-word windows found twice or more in the text.
+    """Words, given by their hashes, that lie in 3-word windows found twice or more in the text.
 
     Windows are hashed and sorted with their places; equal neighbours give the places, and places in order give the
     words that they cover. Only texts with a repeated window are sorted.
@@ -89,8 +105,7 @@ def repeated_words(words: Column) -> Column:
         at = F.sequence(F.lit(0), F.size(single) - 3)
         return F.transform(at, lambda i: F.xxhash64(F.get(single, i), F.get(single, i + 1), F.get(single, i + 2)))
 
-    hashed = let(F.transform(words, lambda w: F.xxhash64(w)), windows)
-    return F.when(F.size(words) > 3, let(hashed, of)).otherwise(0)
+    return F.when(F.size(words) > 3, let(windows(words), of)).otherwise(0)
 
 
 def repeated_lines(text: Column) -> Column:
@@ -112,14 +127,15 @@ def judge(docs: DataFrame, ratios: list[float], text: str = "text", threshold: f
     whole = F.coalesce(F.col(text), F.lit(""))
     own = [F.col(c) for c in docs.columns]
     first = docs.select(*own, common.words(whole).alias("__words"))
+    first = first.select(*own, "__words", word_hashes(F.col("__words")).alias("__hashes"))
     rated = first.select(
         *own,
         F.size("__words").cast("long").alias("__n"),
         F.length(F.array_join("__words", "")).cast("long").alias("__chars"),
         F.regexp_count(whole, F.lit(r"[#*$%&|<>]")).cast("long").alias("__symbols"),
         repeated_lines(whole).cast("long").alias("__lines"),
-        repeated_words(F.col("__words")).cast("long").alias("__repeats"),
-        F.round(score(F.col("__words"), ratios), 9).alias("__score"),
+        repeated_words(F.col("__hashes")).cast("long").alias("__repeats"),
+        F.round(score(F.col("__words"), F.col("__hashes"), ratios), 9).alias("__score"),
     )
     failed = (F.col("__n") < LEAST_WORDS) | (100 * F.col("__repeats") > 50 * F.col("__n"))
     kept = ~failed & (F.col("__score") >= threshold)
