@@ -52,8 +52,8 @@ def _clock(parts: list[Column]) -> Column:
 def parse(value, source: str = "string") -> Column:
     """A time value as microseconds since 1970. Numbers are Julian days; 'now' is the current time."""
     value = col(value)
-    if source == "timestamp":
-        return F.unix_micros(value)
+    if source in ("timestamp", "timestamp_ntz"):
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), value.cast("timestamp_ntz"))
     if source == "date":
         return F.datediff(value, F.lit("1970-01-01").cast("date")).cast("bigint") * DAY
     if source != "string":

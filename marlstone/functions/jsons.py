@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from marlstone.session import ship
+
 from .core import col
 
 
@@ -178,6 +180,7 @@ def error_position(text: str) -> int:
 
 def _over(f: Callable[[str], object], kind: str = "string"):
     """A function of one text as an Arrow-batched column function; NULL for NULL and for malformed texts."""
+    ship()
 
     def one(text: str | None):
         if text is None:

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from marlstone.session import ship
+
 from .core import ascii_lower, ascii_upper, col
 
 lower, upper = ascii_lower, ascii_upper
@@ -37,7 +39,7 @@ def substr(text, start, count=None) -> Column:
 
 def instr(text, needle) -> Column:
     """The first place of the needle in code points from 1; 0 if it isn't there, 1 for an empty needle."""
-    return F.when(needle == "", 1).otherwise(F.instr(col(text), needle)) if isinstance(needle, str) else F.locate(needle, col(text))
+    return F.call_function("instr", col(text), needle if isinstance(needle, Column) else F.lit(needle))
 
 
 def replace(text, old: str, new: str) -> Column:
@@ -114,13 +116,19 @@ def soundex_code(text: str | None) -> str:
     return (out + "000")[:4]
 
 
-@F.pandas_udf("string")
-def _soundex(text: pd.Series) -> pd.Series:
-    return text.map(soundex_code, na_action=None)
+def _mapped(f, value: Column) -> Column:
+    """A function of one text, in Arrow batches."""
+    ship()
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(f, na_action=None)
+
+    return run(value)
 
 
 def soundex(text) -> Column:
-    return _soundex(col(text).cast("string"))
+    return _mapped(soundex_code, col(text).cast("string"))
 
 
 def unescape(text: str | None) -> str | None:
@@ -147,10 +155,5 @@ def unescape(text: str | None) -> str | None:
     return "".join(out)
 
 
-@F.pandas_udf("string")
-def _unistr(text: pd.Series) -> pd.Series:
-    return text.map(unescape, na_action=None)
-
-
 def unistr(text) -> Column:
-    return _unistr(col(text).cast("string"))
+    return _mapped(unescape, col(text).cast("string"))
