@@ -19,6 +19,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once for a row and named, not repeated, in the plan."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def truth(c: Column) -> Column:
     """A condition as 1, 0 or NULL."""
     return c.cast("int").cast("bigint")

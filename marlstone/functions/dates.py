@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .core import col
+from .core import col, let
 
 DAY = 86_400_000_000
 EPOCH_JULIAN = 2440587.5
@@ -25,15 +25,21 @@ _NUMBER = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*$"
 def days_of(year: Column, month: Column, day: Column) -> Column:
     """Days since 1970 of the month's first day, plus day - 1: a day past the month's end rolls forward. Months
     outside 1 to 12 carry over to the years."""
-    m = year * 12 + month - 1
+    return let(year * 12 + month - 1, _first_day) + day - 1
+
+
+def _first_day(m: Column) -> Column:
+    """Of a month, counted from that of year 0."""
     y, mo = F.floor(m / 12).cast("int"), F.pmod(m, F.lit(12)).cast("int") + 1
     # Days from civil: years begin in March, so leap days are at the end.
-    shifted = F.when(mo <= 2, y - 1).otherwise(y)
-    era = F.floor(shifted / 400).cast("bigint")
-    yoe = shifted - era * 400
     doy = F.floor((153 * F.pmod(mo + 9, F.lit(12)) + 2) / 5).cast("bigint")
-    doe = yoe * 365 + F.floor(yoe / 4).cast("bigint") - F.floor(yoe / 100).cast("bigint") + doy
-    return era * 146097 + doe - 719468 + day - 1
+
+    def days(year: Column) -> Column:
+        era = F.floor(year / 400).cast("bigint")
+        yoe = year - era * 400
+        return era * 146097 + yoe * 365 + F.floor(yoe / 4).cast("bigint") - F.floor(yoe / 100).cast("bigint") - 719468
+
+    return let(F.when(mo <= 2, y - 1).otherwise(y), days) + doy
 
 
 def _zone(mark: Column) -> Column:
@@ -95,8 +101,7 @@ def _clock_of(at: Column) -> Column:
 
 
 def _add_months(at: Column, months: Column) -> Column:
-    d = _date(at)
-    return days_of(F.year(d), F.month(d) + months, F.day(d)) * DAY + _clock_of(at)
+    return let(_date(at), lambda d: days_of(F.year(d), F.month(d) + months, F.day(d)) * DAY) + _clock_of(at)
 
 
 _UNITS = {"second": 1_000_000, "minute": 60_000_000, "hour": 3_600_000_000, "day": DAY}
@@ -107,39 +112,56 @@ _SPAN = re.compile(r"^([+-])([0-9]{4})-([0-9]{2})-([0-9]{2})(?:\s+([0-9]{2}):([0
 
 def modify(at: Column, modifiers: tuple[str, ...]) -> Column:
     """Apply modifiers in order; one that isn't known makes the value NULL."""
-    over = F.lit(0)  # days by which the last month step ran past a month's end
+    # With the days by which the last month step ran past a month's end, which floor takes back.
+    state = F.struct(at.alias("at"), F.lit(0).alias("over"))
     for raw in modifiers:
         word = raw.strip().lower()
         if word in ("subsec", "subsecond", "utc", "localtime", "auto", "ceiling"):
             continue
-        if word == "floor":
-            at = at - over.cast("bigint") * DAY
-        elif word == "start of day":
-            at = _days(at).cast("bigint") * DAY
-        elif word in ("start of month", "start of year"):
-            d = _date(at)
-            at = days_of(F.year(d), F.month(d) if word.endswith("month") else F.lit(1), F.lit(1)) * DAY
-        elif m := re.match(r"^weekday\s+([0-6])(?:\.0*)?$", word):
-            # 1970-01-01 was a Thursday (4).
-            at = at + F.pmod(F.lit(int(m[1])) - (_days(at) + 4), F.lit(7)).cast("bigint") * DAY
-        elif m := _STEP.match(word):
-            number, unit = float(m[1]), m[2]
-            if unit in _UNITS:
-                at = at + round(number * _UNITS[unit])
-            else:
-                whole, size = int(number), 12 if unit == "year" else 1
-                moved = _add_months(at, F.lit(whole * size))
-                over = F.when(F.day(_date(moved)) < F.day(_date(at)), F.day(_date(moved))).otherwise(0)
-                at = moved + round((number - whole) * (365 if size == 12 else 30) * DAY)
-        elif m := _SPAN.match(word):
-            sign = -1 if m[1] == "-" else 1
-            at = _add_months(at, F.lit(sign * (int(m[2]) * 12 + int(m[3]))))
-            at = at + sign * (int(m[4]) * DAY + _micros(m[5], m[6], m[7], m[8]))
-        elif m := _OFFSET.match(word):
-            at = at + (-1 if m[1] == "-" else 1) * _micros(m[2], m[3], m[4], m[5])
-        else:
+        step = _step(word)
+        if step is None:
             return F.lit(None).cast("bigint")
-    return at
+        state = let(state, step)
+    return state["at"]
+
+
+def _step(word: str):
+    """A modifier as a function of the state; None if it isn't known."""
+
+    def simple(f):
+        return lambda s: F.struct(f(s["at"]).cast("bigint").alias("at"), F.lit(0).alias("over"))
+
+    if word == "floor":
+        return lambda s: F.struct((s["at"] - s["over"].cast("bigint") * DAY).alias("at"), F.lit(0).alias("over"))
+    if word == "start of day":
+        return simple(lambda at: _days(at).cast("bigint") * DAY)
+    if word in ("start of month", "start of year"):
+        return simple(lambda at: let(_date(at), lambda d: days_of(F.year(d), F.month(d) if word.endswith("month") else F.lit(1), F.lit(1)) * DAY))
+    if m := re.match(r"^weekday\s+([0-6])(?:\.0*)?$", word):
+        # 1970-01-01 was a Thursday (4).
+        return simple(lambda at: at + F.pmod(F.lit(int(m[1])) - (_days(at) + 4), F.lit(7)).cast("bigint") * DAY)
+    if m := _STEP.match(word):
+        number, unit = float(m[1]), m[2]
+        if unit in _UNITS:
+            return simple(lambda at: at + round(number * _UNITS[unit]))
+        whole, size = int(number), 12 if unit == "year" else 1
+        rest = round((number - whole) * (365 if size == 12 else 30) * DAY)
+
+        def months(s: Column) -> Column:
+            def over(moved: Column) -> Column:
+                day, was = F.day(_date(moved)), F.day(_date(s["at"]))
+                return F.struct((moved + rest).alias("at"), F.when(day < was, day).otherwise(0).alias("over"))
+
+            return let(_add_months(s["at"], F.lit(whole * size)), over)
+
+        return months
+    if m := _SPAN.match(word):
+        sign = -1 if m[1] == "-" else 1
+        more = sign * (int(m[4]) * DAY + _micros(m[5], m[6], m[7], m[8]))
+        return simple(lambda at: _add_months(at, F.lit(sign * (int(m[2]) * 12 + int(m[3])))) + more)
+    if m := _OFFSET.match(word):
+        return simple(lambda at: at + (-1 if m[1] == "-" else 1) * _micros(m[2], m[3], m[4], m[5]))
+    return None
 
 
 def _micros(h: str | None, m: str | None, s: str | None, f: str | None) -> int:
@@ -159,8 +181,7 @@ def moment(value, modifiers: tuple[str, ...] = (), source: str = "string") -> Co
         modifiers = modifiers[1:]
     else:
         at = parse(value, source)
-    at = modify(at, modifiers)
-    return F.when(_days(at).between(FIRST_DAY, LAST_DAY), at)
+    return let(modify(at, modifiers), lambda a: F.when(_days(a).between(FIRST_DAY, LAST_DAY), a))
 
 
 def _pad(value: Column, size: int, mark: str = "0") -> Column:
@@ -184,16 +205,15 @@ def _hms(at: Column, fine: bool) -> Column:
 
 
 def date(value, *modifiers: str, source: str = "string") -> Column:
-    return _ymd(moment(value, modifiers, source))
+    return let(moment(value, modifiers, source), _ymd)
 
 
 def time(value, *modifiers: str, source: str = "string") -> Column:
-    return _hms(moment(value, modifiers, source), _fine(modifiers))
+    return let(moment(value, modifiers, source), lambda at: _hms(at, _fine(modifiers)))
 
 
 def datetime(value, *modifiers: str, source: str = "string") -> Column:
-    at = moment(value, modifiers, source)
-    return F.concat(_ymd(at), F.lit(" "), _hms(at, _fine(modifiers)))
+    return let(moment(value, modifiers, source), lambda at: F.concat(_ymd(at), F.lit(" "), _hms(at, _fine(modifiers))))
 
 
 def julianday(value, *modifiers: str, source: str = "string") -> Column:
@@ -207,7 +227,10 @@ def unixepoch(value, *modifiers: str, source: str = "string") -> Column:
 
 def strftime(fmt: str, value, *modifiers: str, source: str = "string") -> Column:
     """Rendered by specifiers; NULL for one that isn't known."""
-    at = moment(value, modifiers, source)
+    return let(moment(value, modifiers, source), lambda at: _rendered(fmt, at))
+
+
+def _rendered(fmt: str, at: Column) -> Column:
     d, c = _date(at), _clock_of(at)
     seconds = F.floor(c / 1_000_000).cast("bigint")
     hour, minute, second = F.floor(seconds / 3600), F.floor(seconds / 60) % 60, seconds % 60
@@ -263,19 +286,28 @@ def strftime(fmt: str, value, *modifiers: str, source: str = "string") -> Column
 
 def timediff(a, b, source: str = "string") -> Column:
     """What to add to b to get a, as a calendar difference: a sign, years, months, days and a clock."""
-    x, y = moment(a, (), source), moment(b, (), source)
-    later, earlier = F.greatest(x, y), F.least(x, y)
+    return let(F.struct(moment(a, (), source).alias("x"), moment(b, (), source).alias("y")), _difference)
+
+
+def _difference(pair: Column) -> Column:
+    x, y = pair["x"], pair["y"]
+    later, earlier, forward = F.greatest(x, y), F.least(x, y), x >= y
     dl, de = _date(later), _date(earlier)
     months = (F.year(dl) - F.year(de)) * 12 + F.month(dl) - F.month(de)
     # Whole months are counted from the second value: forward if it is the earlier one, else backward.
-    fore = months - F.when(_add_months(earlier, months) > later, 1).otherwise(0)
-    back = months - F.when(_add_months(later, -months) < earlier, 1).otherwise(0)
-    forward = x >= y
-    whole = F.when(forward, fore).otherwise(back)
-    rest = F.when(forward, later - _add_months(earlier, fore)).otherwise(_add_months(later, -back) - earlier)
-    rest = F.greatest(rest, F.lit(0))
-    shape = [F.when(forward, "+").otherwise("-"), _pad(F.floor(whole / 12), 4), F.lit("-"), _pad(whole % 12, 2), F.lit("-"), _pad(F.floor(rest / DAY), 2), F.lit(" "), _hms(rest % DAY, True)]
-    return F.concat(*shape)
+    fore = let(months, lambda m: m - F.when(_add_months(earlier, m) > later, 1).otherwise(0))
+    back = let(months, lambda m: m - F.when(_add_months(later, -m) < earlier, 1).otherwise(0))
+
+    def render(part: Column) -> Column:
+        whole, rest = part["whole"], F.greatest(part["rest"], F.lit(0))
+        shape = [_pad(F.floor(whole / 12), 4), F.lit("-"), _pad(whole % 12, 2), F.lit("-"), _pad(F.floor(rest / DAY), 2), F.lit(" ")]
+        return F.concat(F.when(forward, "+").otherwise("-"), *shape, let(rest % DAY, lambda r: _hms(r, True)))
+
+    def left(whole: Column) -> Column:
+        rest = F.when(forward, later - _add_months(earlier, whole)).otherwise(_add_months(later, -whole) - earlier)
+        return let(F.struct(whole.alias("whole"), rest.alias("rest")), render)
+
+    return F.when(x.isNotNull() & y.isNotNull(), let(F.when(forward, fore).otherwise(back), left))
 
 
 def current_date() -> Column:
