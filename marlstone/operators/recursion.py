@@ -6,35 +6,22 @@ reread. UNION keeps only rows that are new; UNION ALL keeps all, and ends when a
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-
-def _stage(df: DataFrame, spark: SparkSession) -> DataFrame:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="marlstone-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/recursion-{uuid.uuid4().hex}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from marlstone.session import staged
 
 
 def recursive(start: DataFrame, step: Callable[[DataFrame], DataFrame], distinct: bool = False, limit: int | None = None, max_rounds: int = 10_000) -> DataFrame:
     """start, then step(frontier) until nothing comes (or, with ``limit``, at least so many rows have)."""
-    spark = start.sparkSession
-    frontier = _stage(start.distinct() if distinct else start, spark)
+    frontier = staged(start.distinct() if distinct else start, "recursion")
     seen, have = frontier, frontier.count() if limit is not None else 0
     for _ in range(max_rounds):
         fresh = step(frontier).select(*start.columns)
         if distinct:
             fresh = fresh.distinct().subtract(seen)
-        frontier = _stage(fresh, spark)
+        frontier = staged(fresh, "recursion")
         n = frontier.count() if limit is not None else frontier.limit(1).count()
         if not n:
             return seen
