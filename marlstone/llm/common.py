@@ -2,61 +2,25 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.session import new_path, shared_dir, ship, staged
+
+__all__ = ["SPACE", "WORD", "ascii_lower", "new_path", "shared_dir", "ship", "staged", "table", "word_count", "words"]
+
 #: One run of ASCII white space, as the contracts define it.
 SPACE = r"[\x20\x09-\x0D]"
 #: A word: a run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package, whatever folder they are started in."""
-    environment = spark.sparkContext.environment
-    paths = environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
-    if _ROOT not in paths:
-        environment["PYTHONPATH"] = os.pathsep.join([p for p in paths if p] + [_ROOT])
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="marlstone-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the application ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read again: it cuts the lineage, so that a lost executor
-    costs a reread, not a recomputation, and a result that is used twice is computed once."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z; other letters stay as they are."""
     return F.translate(text, _UPPER, _UPPER.lower())

@@ -1,0 +1,79 @@
+import hashlib
+import re
+
+from marlstone.llm import pii, secrets
+
+from .helpers import documents, frame, random_texts
+
+PARTS = ["1", "2", "9", "4111111111111111", " ", "-", ".", "@", "a", "b", "+", "(", ")", "é", "🙂", "1.2.3.4", "x@y.z", "token", "=", "secret", ":", "'", '"', "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "password", "\n", "%", "_", "255.", "..", "API_KEY"]
+LONG = ["1 " * 20_000, "a@b" + ".c" * 20_000, "9" * 30_000, "a" * 100_000 + "@", "x@y.zz " * 4_000, "token=abcdefg " * 3_000]
+
+
+def digits(text):
+    return re.sub("[^0-9]", "", text)
+
+
+def luhn(number):
+    total = 0
+    for i, c in enumerate(reversed(number)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+PII = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m[0].split("."))),
+    ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 14 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 10 <= len(digits(m[0])) <= 15),
+]
+SECRETS = [
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6),
+    ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20),
+    ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 24),
+]
+
+
+def expected(kinds, text):
+    spans = sorted((m.start(), k, name, m.end()) for k, (name, pattern, ok) in enumerate(kinds) for m in re.finditer(pattern, text or "") if ok(m))
+    joined = ",".join(f"{name}:{a}:{b}" for a, _, name, b in spans)
+    return [sum(s[2] == name for s in spans) for name, _, _ in kinds], hashlib.sha256(joined.encode()).hexdigest(), set(joined.split(",")) - {""}
+
+
+def check(spark, kinds, find):
+    rows = documents() + [(10_000 + i, t, f"s{i % 5}") for i, t in enumerate(random_texts(PARTS, 800, 60, 4) + LONG)]
+    found = find(frame(spark, rows)).collect()
+    assert len(found) == len(rows)
+    by_id = {r["doc_id"]: r for r in found}
+    for key, text, _ in rows:
+        if key is None:
+            continue
+        counts, digest, spans = expected(kinds, text)
+        row = by_id[key]
+        assert [row[f"n_{name}"] for name, _, _ in kinds] == counts, text[:100]
+        assert row["base_sha256"] == digest
+        assert spans <= set(row["spans"].split(","))
+    assert find(frame(spark, [])).count() == 0
+
+
+def test_pii(spark):
+    check(spark, PII, pii.find_pii)
+
+
+def test_secrets(spark):
+    check(spark, SECRETS, secrets.scan_secrets)
+
+
+def test_added_personal_data(spark):
+    text = "my iban DE89 3704 0044 0532 0130 00, not DE89 3704 0044 0532 0130 01; ssn 123-45-6789 but 123-45-6789" + " filler" * 30 + " 321-54-9876"
+    row = pii.find_pii(frame(spark, [(1, text, "s")])).first()
+    assert "iban:8:35" in row["spans"] and row["spans"].count("iban") == 1 and row["spans"].count("ssn") == 2
+
+
+def test_ownership_separates_examples(spark):
+    key = "ghp_" + "a1B2c3D4e5" * 3 + "f6G7h8"
+    other = "ghp_" + "z9Y8x7W6v5" * 3 + "u4T3s2"
+    rows = [(i, f"use {key} here", f"owner{i}") for i in range(5)] + [(9, f"mine {other}", "owner9"), (10, f"mine {other}", "owner9")]
+    found = {r["doc_id"]: r for r in secrets.scan_secrets(frame(spark, rows)).collect()}
+    assert found[0]["n_example"] == 1 and found[0]["spans"] == ""
+    assert found[9]["n_live"] == 1 and found[9]["spans"] == "vendor:5:45"
