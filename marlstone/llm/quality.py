@@ -59,14 +59,16 @@ def bucket_counts(docs: DataFrame, trusted: DataFrame, key: str, text: str, buck
 
 
 def log_ratios(counts: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> list[float]:
-    """log(target / raw) of every bucket, both smoothed; all zero without trusted documents."""
+    """log(target / raw) of every bucket; all zero without trusted documents.
+
+    The raw counts are brought to the target's total, then both get the same prior: where little has been counted the
+    ratio is near 1, however small the corpus.
+    """
     raw, target = [0] * buckets, [0] * buckets
     for r in counts.collect():  # one row for each bucket
         raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
-    if not sum(target):
-        return [0.0] * buckets
-    all_raw, all_target = sum(raw) + prior * buckets, sum(target) + prior * buckets
-    return [math.log((t + prior) / all_target) - math.log((n + prior) / all_raw) for t, n in zip(target, raw, strict=True)]
+    scale = sum(target) / max(sum(raw), 1)
+    return [math.log((t + prior) / (n * scale + prior)) if scale else 0.0 for t, n in zip(target, raw, strict=True)]
 
 
 def score(words: Column, hashes: Column, ratios: list[float]) -> Column:
@@ -157,7 +159,10 @@ def rate(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "t
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that are kept, as they are."""
-    return judge(docs, ratios_of(docs, labels), "text", threshold).where("__quality.kept").select(docs.columns)
+    judged = judge(docs, ratios_of(docs, labels), "text", threshold)
+    # The optimizer doesn't push a filter below a row number. Below, it would put the measures' expressions into one
+    # another, and each word's hash would be found anew for every word.
+    return judged.withColumn("__row", F.monotonically_increasing_id()).where("__quality.kept").select(docs.columns)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
