@@ -78,7 +78,7 @@ def bit_not(a) -> Column:
 
 
 def _shift(a: Column, n: Column, left: bool) -> Column:
-    kept = F.least(n, F.lit(63)).cast("int")
+    kept = F.when(n < 63, n).when(n >= 63, 63).cast("int")  # NULL for NULL
     if left:
         return F.when(n >= 64, F.lit(0).cast("bigint")).otherwise(F.call_function("shiftleft", a, kept))
     return F.when(n >= 64, F.when(a < 0, F.lit(-1)).otherwise(F.lit(0)).cast("bigint")).otherwise(F.call_function("shiftright", a, kept))
