@@ -87,12 +87,12 @@ def _shift(a: Column, n: Column, left: bool) -> Column:
 def shift_left(a, n) -> Column:
     """A negative count shifts the other way; 64 and more leave 0 (or -1 of a negative number to the right)."""
     a, n = col(a).cast("bigint"), col(n).cast("bigint")
-    return F.when(n < 0, _shift(a, -n, False)).otherwise(_shift(a, n, True))
+    return F.when(a.isNotNull() & n.isNotNull(), F.when(n < 0, _shift(a, -n, False)).otherwise(_shift(a, n, True)))
 
 
 def shift_right(a, n) -> Column:
     a, n = col(a).cast("bigint"), col(n).cast("bigint")
-    return F.when(n < 0, _shift(a, -n, True)).otherwise(_shift(a, n, False))
+    return F.when(a.isNotNull() & n.isNotNull(), F.when(n < 0, _shift(a, -n, True)).otherwise(_shift(a, n, False)))
 
 
 # Text and numbers ----------------------------------------------------------------------------------------------------
