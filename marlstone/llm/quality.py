@@ -125,23 +125,31 @@ def ratios_of(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
 def judge(docs: DataFrame, ratios: list[float], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with a struct column ``__quality``: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, score, kept."""
+    base_failed, score, kept.
+
+    Words and their hashes are bound by name inside one expression: wherever the optimizer moves it (a filter goes
+    below the projection), they are found once for a row.
+    """
     whole = F.coalesce(F.col(text), F.lit(""))
-    own = [F.col(c) for c in docs.columns]
-    first = docs.select(*own, common.words(whole).alias("__words"))
-    first = first.select(*own, "__words", word_hashes(F.col("__words")).alias("__hashes"))
-    rated = first.select(
-        *own,
-        F.size("__words").cast("long").alias("__n"),
-        F.length(F.array_join("__words", "")).cast("long").alias("__chars"),
-        F.regexp_count(whole, F.lit(r"[#*$%&|<>]")).cast("long").alias("__symbols"),
-        repeated_lines(whole).cast("long").alias("__lines"),
-        repeated_words(F.col("__hashes")).cast("long").alias("__repeats"),
-        F.round(score(F.col("__words"), F.col("__hashes"), ratios), 9).alias("__score"),
-    )
-    failed = (F.col("__n") < LEAST_WORDS) | (100 * F.col("__repeats") > 50 * F.col("__n"))
-    kept = ~failed & (F.col("__score") >= threshold)
-    return rated.select(*own, F.struct(F.col("__n").alias("n_words"), F.col("__chars").alias("word_chars"), F.col("__symbols").alias("n_symbols"), F.col("__lines").alias("n_dup_lines"), F.col("__repeats").alias("n_repeat_words"), failed.alias("base_failed"), F.col("__score").alias("score"), kept.alias("kept")).alias("__quality"))
+
+    def verdict(m: Column) -> Column:
+        failed = (m["n_words"] < LEAST_WORDS) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+        measures = [m[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+        kept = ~failed & (m["score"] >= threshold)
+        return F.struct(*measures, failed.alias("base_failed"), m["score"].alias("score"), kept.alias("kept"))
+
+    def measured(words: Column, hashes: Column) -> Column:
+        return F.struct(
+            F.size(words).cast("long").alias("n_words"),
+            F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+            F.regexp_count(whole, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+            repeated_lines(whole).cast("long").alias("n_dup_lines"),
+            repeated_words(hashes).cast("long").alias("n_repeat_words"),
+            F.round(score(words, hashes, ratios), 9).alias("score"),
+        )
+
+    found = let(common.words(whole), lambda w: let(word_hashes(w), lambda h: let(measured(w, h), verdict)))
+    return docs.withColumn("__quality", found)
 
 
 def rate(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -159,10 +167,7 @@ def rate(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "t
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that are kept, as they are."""
-    judged = judge(docs, ratios_of(docs, labels), "text", threshold)
-    # The optimizer doesn't push a filter below a row number. Below, it would put the measures' expressions into one
-    # another, and each word's hash would be found anew for every word.
-    return judged.withColumn("__row", F.monotonically_increasing_id()).where("__quality.kept").select(docs.columns)
+    return judge(docs, ratios_of(docs, labels), "text", threshold).where("__quality.kept").select(docs.columns)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
