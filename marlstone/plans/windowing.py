@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from marlstone.operators import windows
 
 from .registry import query, table
 
-_BY = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+
+def _by() -> WindowSpec:
+    return Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,26 +23,26 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
           WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), p AS (PARTITION BY o_custkey ORDER BY o_orderpriority)""")
 def ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = Window.partitionBy("o_custkey").orderBy("o_orderpriority")
-    return _orders(spark, sf_dir).select("o_orderkey", F.row_number().over(_BY).cast("bigint").alias("rn"), F.rank().over(p).cast("bigint").alias("rk"), F.dense_rank().over(p).cast("bigint").alias("dr"))
+    return _orders(spark, sf_dir).select("o_orderkey", F.row_number().over(_by()).cast("bigint").alias("rn"), F.rank().over(p).cast("bigint").alias("rk"), F.dense_rank().over(p).cast("bigint").alias("dr"))
 
 
 @query("""SELECT o_orderkey, round(percent_rank() OVER p, 9) AS pr, round(cume_dist() OVER p, 9) AS cd, ntile(3) OVER w AS nt FROM orders
           WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), p AS (PARTITION BY o_custkey ORDER BY o_orderpriority)""")
 def distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = Window.partitionBy("o_custkey").orderBy("o_orderpriority")
-    return _orders(spark, sf_dir).select("o_orderkey", F.round(F.percent_rank().over(p), 9).alias("pr"), F.round(F.cume_dist().over(p), 9).alias("cd"), F.ntile(3).over(_BY).cast("bigint").alias("nt"))
+    return _orders(spark, sf_dir).select("o_orderkey", F.round(F.percent_rank().over(p), 9).alias("pr"), F.round(F.cume_dist().over(p), 9).alias("cd"), F.ntile(3).over(_by()).cast("bigint").alias("nt"))
 
 
 @query("""SELECT o_orderkey, lag(o_totalprice) OVER w AS before, lead(o_totalprice, 2, -1.0) OVER w AS after FROM orders
           WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
 def lead_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _orders(spark, sf_dir).select("o_orderkey", F.lag("o_totalprice").over(_BY).alias("before"), F.lead("o_totalprice", 2, -1.0).over(_BY).alias("after"))
+    return _orders(spark, sf_dir).select("o_orderkey", F.lag("o_totalprice").over(_by()).alias("before"), F.lead("o_totalprice", 2, -1.0).over(_by()).alias("after"))
 
 
 @query("""SELECT o_orderkey, first_value(o_totalprice) OVER w AS f, last_value(o_totalprice) OVER w AS l, nth_value(o_totalprice, 2) OVER w AS n FROM orders
           WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
 def first_last_nth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _orders(spark, sf_dir).select("o_orderkey", F.first("o_totalprice").over(_BY).alias("f"), F.last("o_totalprice").over(_BY).alias("l"), F.nth_value("o_totalprice", 2).over(_BY).alias("n"))
+    return _orders(spark, sf_dir).select("o_orderkey", F.first("o_totalprice").over(_by()).alias("f"), F.last("o_totalprice").over(_by()).alias("l"), F.nth_value("o_totalprice", 2).over(_by()).alias("n"))
 
 
 @query("""SELECT o_orderkey, count(*) OVER w AS c, round(sum(o_totalprice) OVER w, 2) AS s, round(avg(o_totalprice) OVER w, 6) AS a,
@@ -61,7 +64,7 @@ def default_frame_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
           FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
 def rows_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = "o_totalprice"
-    return _orders(spark, sf_dir).select("o_orderkey", F.round(F.sum(price).over(_BY.rowsBetween(-2, 1)), 2).alias("s"), F.min(price).over(_BY.rowsBetween(1, 3)).alias("lo"), F.max(price).over(_BY.rowsBetween(0, windows.FOLLOWING)).alias("hi"))
+    return _orders(spark, sf_dir).select("o_orderkey", F.round(F.sum(price).over(_by().rowsBetween(-2, 1)), 2).alias("s"), F.min(price).over(_by().rowsBetween(1, 3)).alias("lo"), F.max(price).over(_by().rowsBetween(0, windows.FOLLOWING)).alias("hi"))
 
 
 @query("SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 3 PRECEDING AND 2 FOLLOWING) AS n FROM part")
