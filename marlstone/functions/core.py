@@ -277,3 +277,43 @@ def quote(value, source: str) -> Column:
     else:
         text = real_text(value) if source in ("double", "float") else value.cast("string")
     return F.coalesce(text, F.lit("NULL"))
+
+
+# Hints, blobs, chance and constants ----------------------------------------------------------------------------------
+
+VERSION = "3.53.1"
+
+
+def likely(value) -> Column:
+    """Hints about how often a condition holds; Spark has its statistics, so the value passes as it is."""
+    return col(value)
+
+
+unlikely = likely
+
+
+def likelihood(value, chance: float) -> Column:
+    if not 0.0 <= chance <= 1.0:
+        raise ValueError("second argument to likelihood() must be a constant between 0.0 and 1.0")
+    return col(value)
+
+
+def zeroblob(size: int) -> Column:
+    return F.unhex(F.lit("00" * max(size, 0)))
+
+
+def random_integer(seed: int | None = None) -> Column:
+    """Any BIGINT, another for each row."""
+    draw = lambda: F.floor((F.rand() if seed is None else F.rand(seed)) * (1 << 32)).cast("bigint")
+    low = F.floor((F.rand() if seed is None else F.rand(seed + 1)) * (1 << 32)).cast("bigint")
+    return F.call_function("shiftleft", draw(), F.lit(32)).bitwiseXOR(low)
+
+
+def random_blob(size: int, seed: int | None = None) -> Column:
+    """Random bytes, at least one."""
+    parts = [F.lpad(F.hex(random_integer(None if seed is None else seed + 2 * k)), 16, "0") for k in range(-(-max(size, 1) // 8))]
+    return F.unhex(F.substring(F.concat(*parts), 1, 2 * max(size, 1)))
+
+
+def version() -> Column:
+    return F.lit(VERSION)

@@ -73,3 +73,21 @@ def test_entry_needs_no_session():
 
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=Path(__file__).parents[1], capture_output=True, text=True)
     assert said.returncode == 0, said.stderr[-500:]
+
+
+def test_plans(spark):
+    from marlstone.plans import explain, registry
+
+    queries = registry.queries()
+    folder = "/root/testdata/sf0.001"
+    assert explain.uses(queries["scan_filter"](spark, folder), "PushedFilters: [IsNotNull(l_quantity)")
+    assert not explain.uses(queries["topk_orders"](spark, folder), "Exchange rangepartitioning")
+    assert not explain.uses(queries["semi"](spark, folder), "CartesianProduct")
+
+
+def test_chance_and_blobs(spark):
+    from marlstone.functions import core
+
+    row = spark.range(50).select(core.random_integer().alias("r"), core.random_blob(11).alias("b"), core.zeroblob(3).alias("z"), core.likelihood("id", 0.5).alias("i"))
+    found = row.collect()
+    assert len({r["r"] for r in found}) == 50 and {len(r["b"]) for r in found} == {11} and found[0]["z"] == b"\0\0\0"
