@@ -79,10 +79,10 @@ def trigonometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(math.tan(q), 6).alias("t"), *[F.round(v, 9).alias(k) for k, v in parts.items()])
 
 
-@query("""SELECT event_id, strftime(ts, '%Y-%m-%d') AS d, strftime(ts, '%H:%M:%S') AS t, strftime(ts, '%Y-%m-%d %H:%M:%S') AS dt, round(julian(ts) - 0.5, 6) AS j, floor(epoch(ts))::BIGINT AS u FROM events""")
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%d') AS d, strftime(ts, '%H:%M:%S') AS t, strftime(ts, '%Y-%m-%d %H:%M:%S') AS dt, round(julian(ts) - 0.5, 4) AS j, floor(epoch(ts))::BIGINT AS u FROM events""")
 def date_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = {"source": "timestamp"}
-    return table(spark, sf_dir, "events").select("event_id", dates.date("ts", **kind).alias("d"), dates.time("ts", **kind).alias("t"), dates.datetime("ts", **kind).alias("dt"), F.round(dates.julianday("ts", **kind), 6).alias("j"), dates.unixepoch("ts", **kind).alias("u"))
+    return table(spark, sf_dir, "events").select("event_id", dates.date("ts", **kind).alias("d"), dates.time("ts", **kind).alias("t"), dates.datetime("ts", **kind).alias("dt"), F.round(dates.julianday("ts", **kind), 4).alias("j"), dates.unixepoch("ts", **kind).alias("u"))
 
 
 @query("""SELECT o_orderkey, strftime(o_orderdate, '%d|%H|%j|%m|%M|%S|%w|%W|%U|%Y|%u|%G|%V|%p|%I') AS s FROM orders""")
