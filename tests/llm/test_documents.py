@@ -277,3 +277,16 @@ def test_language_model_is_a_distribution(spark):
     short = [*letters, *(a + b for a in letters[::3] for b in letters)]
     assert 0 < (10.0 ** model.costs(short, np.zeros(len(short), np.int64))).sum() <= 1.0
     assert model.costs([b"ab"], np.zeros(1, np.int64))[0] > model.costs([b"zq"], np.zeros(1, np.int64))[0]
+
+
+def test_language_model_charges_every_byte(spark):
+    """An unseen token's cost goes on with its length; it has no floor."""
+    rng = random.Random(4)
+    held = [k for k in range(5000, 6000) if lmscore.held_out(k)][:3]
+    long = "".join(rng.choices("bcdfghjklmnpqrstvwxz0123456789+/", k=5000))
+    texts = [long[:200], long[:400], long]
+    rows = [r for r in documents(60) if r[0] is not None] + [(k, t, "s") for k, t in zip(held, texts, strict=True)]
+    found = {r["doc_id"]: r for r in lmscore.score(frame(spark, rows)).where("doc_id >= 5000 AND doc_id < 6000").collect()}
+    short, middle, all_ = (found[k]["score"] for k in held)
+    assert middle < 1.5 * short and all_ < 10 * middle
+    assert all(found[k]["bits_per_byte"] > 1 for k in held)
