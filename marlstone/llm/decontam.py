@@ -115,11 +115,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold a window of the benchmark."""
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    # An id is spoilt if any row with it and the same text is.
-    bad = contamination(docs, benchmark).where("contaminated").select(name.alias("__id")).distinct()
-    return docs.withColumn("__id", name).join(bad, "__id", "left_anti").select(docs.columns)
+    """docs without those that hold a window of the benchmark; rows that share an id are told apart by their texts."""
+    named = docs.select(common.row_name("doc_id", "text").alias("__row"), "text")
+    bad = contamination(named, benchmark, key="__row").where("contaminated").select("__row").distinct()
+    return docs.withColumn("__row", common.row_name("doc_id", "text")).join(bad, "__row", "left_anti").select(docs.columns)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

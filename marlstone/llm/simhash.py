@@ -228,12 +228,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the least doc_id, as it is. Rows with the same
-    doc_id as that one count as copies of it."""
-    found = near_duplicates(docs)
-    chosen = found.where("doc_id <=> component_id").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id")).distinct()
-    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    return keyed.join(chosen, "__id", "left_semi").dropDuplicates(["__id"]).select(docs.columns)
+    """docs without near-duplicates: of each component the row with the least doc_id (null last, then by the hash of
+    the text), as it is. Rows that share an id, or have none, are told apart by their texts; of rows alike in both,
+    one stays."""
+    chosen = near_duplicates(docs.select(common.row_name("doc_id", "text").alias("__row"), "text"), key="__row")
+    chosen = chosen.select(F.col("component_id").alias("__row")).distinct()
+    keyed = docs.withColumn("__row", common.row_name("doc_id", "text"))
+    return keyed.join(chosen, "__row", "left_semi").dropDuplicates(["__row"]).select(docs.columns)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,11 @@
+import random
 import re
 
 import corpus_pipeline
 
-from .helpers import SF
+from marlstone.llm import decontam, simhash
+
+from .helpers import SF, frame
 
 
 def test_stages(spark):
@@ -28,3 +31,16 @@ def test_empty_input(spark):
 def test_stage_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "decontamination", "mixture", "token_ids"]
     assert not re.search("except ImportError", open(corpus_pipeline.__file__).read())
+
+
+def test_rows_without_an_own_id(spark):
+    """Null and repeated ids: a row stays or goes by its own text."""
+    rng = random.Random(8)
+    prose = [" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(80)) for _ in range(12)]
+    item = " ".join(prose[11].split()[10:25])
+    rows = [(1, prose[0], "s"), (None, prose[0], "s"), *((None, t, "s") for t in prose[1:6]), *((7, t, "s") for t in prose[6:11]), (7, prose[11], "s"), (None, prose[11].upper(), "s")]
+    kept = [(r["doc_id"], r["text"]) for r in simhash.keep_one(frame(spark, [*rows, rows[3]])).collect()]
+    assert len(kept) == len(set(kept)) == 12 and (1, prose[0]) in kept and set(prose[1:11]) <= {t for _, t in kept}
+    benchmark = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    clean = decontam.drop_contaminated(frame(spark, rows), benchmark).collect()
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in clean))) == sorted(str(r[:2]) for r in rows if item not in r[1].lower())
