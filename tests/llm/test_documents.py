@@ -290,3 +290,29 @@ def test_language_model_charges_every_byte(spark):
     short, middle, all_ = (found[k]["score"] for k in held)
     assert middle < 1.5 * short and all_ < 10 * middle
     assert all(found[k]["bits_per_byte"] > 1 for k in held)
+
+
+def test_language_model_reads_every_token_in_context(spark):
+    """Seen words in an order that was learnt are likelier than the same words in another one."""
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(40)]
+    held = [k for k in range(5000, 6000) if lmscore.held_out(k)][:2]
+    train = [(k, " ".join(words * 5), "s") for k in range(7000, 7060) if not lmscore.held_out(k)]
+    rows = [*train, (held[0], " ".join(words), "s"), (held[1], " ".join(rng.sample(words, 40)), "s")]
+    found = {r["doc_id"]: r for r in lmscore.score(frame(spark, rows)).collect()}
+    learnt, other = (found[k] for k in held)
+    assert learnt["n_known"] == other["n_known"] == 41 and learnt["base_score"] == pytest.approx(other["base_score"])
+    assert learnt["bits_per_byte"] < 0.8 * other["bits_per_byte"]
+
+
+def test_stream_chunks_carry_contexts(monkeypatch):
+    """A document's bits are the same wherever chunks cut it and whatever comes before it."""
+    from marlstone.llm import ctxmix
+
+    stream = b"one two three one two \n" + b"long" * 30 + b" two three \n\n"
+    code = ctxmix.Code.fitted(np.bincount(np.frombuffer(stream, np.uint8), minlength=256))
+    whole = np.concatenate([e.slots for _, e in ctxmix.chunks(stream, code)], axis=1)
+    monkeypatch.setattr(ctxmix, "CHUNK", 7)
+    assert (np.concatenate([e.slots for _, e in ctxmix.chunks(stream, code)], axis=1) == whole).all()
+    alone = [np.concatenate([e.slots for _, e in ctxmix.chunks(d + b"\n", code)], axis=1) for d in stream.split(b"\n")[:-1]]
+    assert (np.concatenate(alone, axis=1) == whole).all()
