@@ -263,20 +263,31 @@ def test_language_model_scores(spark):
     assert lmscore.score(frame(spark, [])).count() == 0
 
 
-def test_language_model_is_a_distribution(spark):
-    """All words of up to two letters, spelled by the mix, have at most the probability 1 together."""
+def test_language_model_is_a_distribution():
+    """All documents of one word of up to two letters have at most the probability 1 together, and a sure one is likely."""
     from marlstone.llm import ctxmix
 
-    words = [b"ab", b"abc", b"ba", b"cab"] * 5
-    groups = np.zeros(len(words), np.int64)
-    code = ctxmix.Code.of(words, np.ones(len(words)))
-    table = np.zeros((2, ctxmix.SLOTS), np.float32)
-    ctxmix.add_counts(table, ctxmix.events(words, groups, code), np.ones(len(words)))
-    model = ctxmix.fit(code, table, words, groups)
-    letters = [bytes([c]) for c in range(256) if c not in b" \t\n\r\x0b\x0c"]
-    short = [*letters, *(a + b for a in letters[::3] for b in letters)]
-    assert 0 < (10.0 ** model.costs(short, np.zeros(len(short), np.int64))).sum() <= 1.0
-    assert model.costs([b"ab"], np.zeros(1, np.int64))[0] > model.costs([b"zq"], np.zeros(1, np.int64))[0]
+    model = ctxmix.fit([b"ab abc ba cab"] * 5 + [b"ab"] * 20, [b"ab", b"abc"], [25, 5])
+    letters = [bytes([c]) for c in range(256) if c not in b" \t\n\r\x0b\x0c" and not 65 <= c <= 90]
+    short = [b"", *letters, *(a + b for a in letters for b in letters)]
+    assert 0.1 < (10.0 ** model.costs(short)).sum() <= 1.0 + 1e-6
+    ab, zq = model.costs([b"ab", b"zq"])
+    assert ab > -0.5 and zq < ab - 2
+
+
+def test_language_model_code():
+    """The code has a path for every symbol and byte, and no path begins another one."""
+    from marlstone.llm import ctxmix
+
+    code = ctxmix.Code.fitted([f"w{i}".encode() for i in range(50)], np.arange(50, 0, -1), 7, 3)
+    paths = [tuple((code.packed[b : b + n] & 1).tolist()) for b, n in zip(code.begins, code.sizes, strict=True)]
+    for some in (paths[:52], paths[52:]):
+        assert sum(2.0 ** -len(p) for p in some) == 1.0 and len(set(some)) == len(some)
+    symbols = np.arange(52)
+    for s in (1, 5, 51):
+        shared = ctxmix.agreement(code, symbols, np.full(52, s))
+        want = [len(paths[t]) if t == s else next(i for i, (a, b) in enumerate(zip(paths[t], paths[s], strict=False)) if a != b) for t in range(52)]
+        assert shared.tolist() == want
 
 
 def test_language_model_charges_every_byte(spark):
@@ -305,14 +316,18 @@ def test_language_model_reads_every_token_in_context(spark):
     assert learnt["bits_per_byte"] < 0.8 * other["bits_per_byte"]
 
 
-def test_stream_chunks_carry_contexts(monkeypatch):
-    """A document's bits are the same wherever chunks cut it and whatever comes before it."""
+def test_batches_carry_contexts(monkeypatch):
+    """A document costs the same wherever batches and parts cut it, whatever comes before it, and as one of many."""
     from marlstone.llm import ctxmix
 
-    stream = b"one two three one two \n" + b"long" * 30 + b" two three \n\n"
-    code = ctxmix.Code.fitted(np.bincount(np.frombuffer(stream, np.uint8), minlength=256))
-    whole = np.concatenate([e.slots for _, e in ctxmix.chunks(stream, code)], axis=1)
-    monkeypatch.setattr(ctxmix, "CHUNK", 7)
-    assert (np.concatenate([e.slots for _, e in ctxmix.chunks(stream, code)], axis=1) == whole).all()
-    alone = [np.concatenate([e.slots for _, e in ctxmix.chunks(d + b"\n", code)], axis=1) for d in stream.split(b"\n")[:-1]]
-    assert (np.concatenate(alone, axis=1) == whole).all()
+    words = [b"one", b"two", b"three", b"four"]
+    train = [b"one two three four one two three four five", b"two three four one", b"long" * 30 + b" two three", b""] * 4
+    model = ctxmix.fit(train, words, [16, 16, 16, 12])
+    documents = [b"one two three four one two", b"", b"x" * 9000 + b" three four ONE", b"one  two\tthree five four"]
+    whole = model.costs(documents)
+    assert (whole < 0).all() and np.allclose(whole, [model.costs([d])[0] for d in documents])
+    monkeypatch.setattr(ctxmix, "BATCH_TOKENS", 1)
+    monkeypatch.setattr(ctxmix, "SPLIT_BYTES", 5)
+    assert np.allclose(model.costs(documents), whole)
+    body = next(ctxmix.batches(documents, model.code)).to_bytes()
+    assert ctxmix.Batch.from_bytes(body).to_bytes() == body
