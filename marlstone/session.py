@@ -38,11 +38,13 @@ def ship(spark: SparkSession | None = None) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or what the context was given; a temporary one only
-    where neither is set."""
+    """The folder that all executors share: spark.checkpoint.dir, or what the context was given. Where neither is set, a
+    local session gets a temporary one; on a cluster that is an error, as no folder of one machine is shared."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="marlstone-"))
         found = context.getCheckpointDir()
     return found.rstrip("/")
