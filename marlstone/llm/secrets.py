@@ -1,7 +1,8 @@
 """Secret scans by corpus-wide ownership frequency.
 
-Patterns give candidate values. Their hashes are counted over the whole corpus by distinct repositories and owners:
-a value that many owners have is a widely copied example, one that few have is a credential of theirs. Base spans
+Patterns give candidate values (of a private key its body, without white space). Their hashes are counted over the whole
+corpus by distinct repositories and owners: a value that many owners have, or that stands in very many repositories, is
+a widely copied example; one that few have is a credential of theirs. Base spans
 stand as the contract has them; spans of the further kinds are added only where the value looks live.
 """
 
@@ -20,12 +21,12 @@ HEX = r"[0-9a-f]{24,}"
 #: Further kinds: (kind, a fixed sign that texts with it contain, pattern, group of the value).
 EXTRAS = (
     ("vendor", "", r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36}|glpat-[A-Za-z0-9_-]{20}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,})", 0),
-    ("pem", "-----BEGIN", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0),
+    ("pem", "-----BEGIN", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----([^-]*+)", 1),
     ("url", "://", r"://[^\x00-\x20/:@]{1,64}:([^\x00-\x20/:@]{3,128})@", 1),
 )
 BASE_KINDS = ("assign", "access", "hex")
-#: A value of at least so many owners is an example.
-EXAMPLE_OWNERS = 3
+#: A value of at least so many owners, or in at least so many repositories, is an example.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 50
 #: A live-looking value has at least so many different characters.
 LEAST_VARIETY = 5
 SALTS = 16
@@ -44,22 +45,23 @@ def _values(kind: str) -> Column:
     """The values of a kind's spans: hash, whether it is varied enough, kind, start, end."""
 
     def value(s: Column) -> Column:
-        varied = _variety(s["text"]) >= LEAST_VARIETY
-        return F.struct(F.xxhash64(s["text"]).alias("hash"), varied.alias("varied"), F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
+        own = F.regexp_replace(s["text"], r"\s|\\[nr]", "") if kind == "pem" else s["text"]
+        varied = _variety(own) >= LEAST_VARIETY
+        return F.struct(F.xxhash64(own).alias("hash"), varied.alias("varied"), F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
 
     return F.transform(kind, value)
 
 
-def ownership(candidates: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def ownership(candidates: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
     """candidates: hash, repository, owner. Of each hash: its distinct repositories and owners, and whether it is an
     example. Rows are made distinct before they are counted, so a hot value is pre-aggregated where it lies."""
     distinct = candidates.select("hash", "repository", "owner").distinct()
     owners = distinct.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n"))
     counted = owners.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repositories"))
-    return counted.withColumn("example", F.col("owners") >= example_owners)
+    return counted.withColumn("example", (F.col("owners") >= example_owners) | (F.col("repositories") >= example_repositories))
 
 
-def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", repository: str = "doc_id", owner: str = "source", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", repository: str = "doc_id", owner: str = "source", example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
     """Secrets of every text: counts and a digest of the base spans, all spans, and how many of the row's values are
     live-looking (n_live) and examples (n_example).
 
@@ -78,7 +80,7 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", repos
     values = F.concat(*[_values(k) for k in kinds])
     candidates = slim.where(sum((F.size(k) for k in kinds[1:]), F.size(kinds[0])) > 0)
     candidates = candidates.select("row", "repository", "owner", F.explode(values).alias("v")).select("row", "repository", "owner", "v.*")
-    decided = ownership(candidates, example_owners).select("hash", "example")
+    decided = ownership(candidates, example_owners, example_repositories).select("hash", "example")
     # A hot value's rows are dealt to several tasks.
     decided = decided.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = candidates.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
