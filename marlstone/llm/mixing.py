@@ -1,10 +1,10 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 Each source gets a share of all words by its weight, at most ``max_repeats`` times its own size; what it can't take
-is shared out again by weight. A source with a target of q.f times its size takes every document q times and a
-subset for the remaining budget. Documents are interchangeable if they have the same length, so the subset is fitted
-over the histogram of exact lengths: every length gives its proportional part, and the little budget that is left
-is fitted by a bounded-knapsack dynamic program. Which documents of a length go is decided by a seeded hash.
+is shared out again by weight. Documents are interchangeable if they have the same length, so the budget is fitted over
+the histogram of exact lengths, each document up to ``max_repeats`` times: every length gives its proportional part, and
+the budget that is left is fitted by a bounded-knapsack dynamic program. A length's repeats are dealt evenly to its
+documents; which of them take one more is decided by a seeded hash.
 """
 
 from __future__ import annotations
@@ -23,14 +23,17 @@ MAX_REPEATS = 3
 SEED = 20
 #: Parts into which the documents of one source and length are dealt, so that no task ranks all of a hot group.
 SALTS = 32
+#: Words of a source that the dynamic program deals anew.
+WINDOW = 1 << 16
 
 
-def fit_subset(lengths: Sequence[int], counts: Sequence[int], budget: int) -> list[int]:
+def fit_subset(lengths: Sequence[int], counts: Sequence[int], budget: int, over: int = 0) -> list[int]:
     """How many documents of each length (of at most counts[i]) to take, so that their words come as near to the
-    budget as the lengths allow.
+    budget as the lengths allow; they exceed it by at most ``over``.
 
     Proportional parts first, then largest first while that fits, then a dynamic program over the attainable sums:
-    it may give back up to ``window`` words of what was taken, which lets it reach sums that greed has missed.
+    the shorter documents that were taken are given back up to WINDOW words, which lets it reach the sums that greed
+    has missed. A source of up to WINDOW words is fitted as a whole.
     """
     total = sum(n * c for n, c in zip(lengths, counts, strict=True))
     if budget >= total:
@@ -47,28 +50,28 @@ def fit_subset(lengths: Sequence[int], counts: Sequence[int], budget: int) -> li
             left -= more * lengths[i]
     if left == 0:
         return taken
-    # Give back some short documents to make room for an exact fit.
     window = left
     positive = [i for i in reversed(order) if lengths[i] > 0]
     for i in positive:
-        if window >= 4 * lengths[positive[0]] + 512:
+        if window >= WINDOW:
             break
-        back = min(taken[i], 4)
+        back = min(taken[i], -(-(WINDOW - window) // lengths[i]))
         taken[i] -= back
         window += back * lengths[i]
-    items = [(lengths[i], min(counts[i] - taken[i], window // lengths[i]), i) for i in positive if lengths[i] <= window]
-    for i, more in _knapsack(items, window).items():
+    items = [(lengths[i], min(counts[i] - taken[i], (window + over) // lengths[i]), i) for i in positive if lengths[i] <= window + over]
+    for i, more in _knapsack(items, window, over).items():
         taken[i] += more
     return taken
 
 
-def _knapsack(items: list[tuple[int, int, int]], budget: int) -> dict[int, int]:
-    """Bounded knapsack over sums up to the budget, as bits of an integer: the largest attainable sum and how.
+def _knapsack(items: list[tuple[int, int, int]], budget: int, over: int) -> dict[int, int]:
+    """Bounded knapsack over sums up to the budget and ``over``, as bits of an integer: the attainable sum that is
+    nearest to the budget (of two the lower one) and how.
 
     Counts are split into powers of two; the set of sums is kept after each part, to walk back from the best one.
     It stops as soon as the budget itself is attainable.
     """
-    full, sums = (1 << (budget + 1)) - 1, 1
+    full, sums = (1 << (budget + over + 1)) - 1, 1
     before: list[tuple[int, int, int, int]] = []
     for length, count, key in items:
         part = 1
@@ -80,7 +83,10 @@ def _knapsack(items: list[tuple[int, int, int]], budget: int) -> dict[int, int]:
             part *= 2
         if sums >> budget & 1:
             break
-    at, out = sums.bit_length() - 1, {}
+    above = sums >> budget
+    at, out = (sums & ((1 << (budget + 1)) - 1)).bit_length() - 1, {}
+    if above and (above & -above).bit_length() - 1 < budget - at:
+        at = budget + (above & -above).bit_length() - 1
     for earlier, step, some, key in reversed(before):
         if not earlier >> at & 1:
             at -= step
@@ -119,12 +125,12 @@ def source_targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, max_r
 
 
 def _fit(key: tuple, rows: pd.DataFrame, max_repeats: int) -> pd.DataFrame:
-    """For one source: rows (size, n) and its target; the whole repeats and how many documents take one more."""
-    size, target = int((rows["size"] * rows["n"]).sum()), float(rows["target"].iloc[0])
-    goal = min(round(target), max_repeats * size)
-    whole = goal // size if size else 0
-    more = fit_subset(rows["size"].tolist(), rows["n"].tolist(), goal - whole * size)
-    return pd.DataFrame({"source": rows["source"], "size": rows["size"], "whole": whole, "more": more})
+    """For one source: rows (size, n) and its target. Of each length: the whole repeats of its documents and how many
+    of them take one more. Every document may be taken up to max_repeats times."""
+    lengths, n, target = rows["size"].tolist(), rows["n"].to_numpy(), float(rows["target"].iloc[0])
+    shortest = min((x for x in lengths if x > 0), default=0)
+    taken = fit_subset(lengths, (n * max_repeats).tolist(), min(round(target), max_repeats * int((rows["size"] * n).sum())), shortest)
+    return pd.DataFrame({"source": rows["source"], "size": rows["size"], "whole": taken // n, "more": taken % n})
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
@@ -168,14 +174,24 @@ def _mixed(docs: DataFrame, weights: Sequence[float], max_repeats: int, seed: in
 
 
 def sample(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
-    """The mix itself: the rows of docs, each as often as the mix takes it, with the columns of docs."""
+    """The mix itself: the rows of docs, each as often as the mix takes it, with the columns of docs.
+
+    Rows alike in id and text share what the mix takes of them evenly; what is left over goes to the ones whose other
+    columns have the least hash (columns with maps don't count). Names of columns never clash: docs is carried whole, as one struct.
+    """
     chosen = _mixed(docs, weights, max_repeats, seed).where("repeats > 0")
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    # Rows alike in id and text share an order; their repeats are added up and dealt to one of them.
-    chosen = chosen.groupBy(name.alias("__id"), F.col("order").alias("__key")).agg(F.sum("repeats").alias("__repeats"))
-    keyed = docs.withColumn("__id", name).withColumn("__key", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")))
-    joined = keyed.dropDuplicates(["__id", "__key"]).join(chosen, ["__id", "__key"])
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__repeats")))).select(docs.columns)
+    chosen = chosen.groupBy(F.col("doc_id").cast("string").alias("of_id"), F.col("order").alias("of_key")).agg(F.sum("repeats").alias("repeats"))
+    hashed = [F.col(f"`{c.name}`") for c in docs.schema if "map<" not in c.dataType.simpleString()]
+    keyed = docs.select(F.col("doc_id").cast("string").alias("id"), F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("key"), F.xxhash64(*hashed).alias("content"), F.struct("*").alias("row"))
+    # Of rows that are alike in everything only the number matters.
+    alike = keyed.groupBy("id", "key", "content").agg(F.count(F.lit(1)).alias("n"))
+    same = Window.partitionBy("id", "key")
+    before = F.coalesce(F.sum("n").over(same.orderBy("content").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    dealt = alike.select("*", F.sum("n").over(same).alias("m"), before.alias("before")).join(chosen, F.expr("id <=> of_id AND key = of_key"))
+    times = F.expr("(repeats DIV m) * n + greatest(0, least(n, repeats % m - before))")
+    times = dealt.select("of_id", "of_key", F.col("content").alias("of_content"), times.cast("long").alias("times")).where("times > 0")
+    joined = keyed.dropDuplicates(["id", "key", "content"]).join(times, F.expr("id <=> of_id AND key = of_key AND content = of_content"))
+    return joined.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*")
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ import re
 
 import corpus_pipeline
 
-from marlstone.llm import decontam, simhash
+from marlstone.llm import decontam, mixing, simhash
 
 from .helpers import SF, frame
 
@@ -44,3 +44,25 @@ def test_rows_without_an_own_id(spark):
     benchmark = spark.createDataFrame([(1, item)], "item_id bigint, text string")
     clean = decontam.drop_contaminated(frame(spark, rows), benchmark).collect()
     assert sorted(map(str, ((r["doc_id"], r["text"]) for r in clean))) == sorted(str(r[:2]) for r in rows if item not in r[1].lower())
+
+
+def test_mixture_keeps_the_columns_of_every_row(spark):
+    """Rows alike in id and text but not in other columns each get their even share, also under clashing names."""
+    prose = " ".join(["word"] * 50)
+    rows = [(None if i % 2 else 5, prose, "s", i) for i in range(12)] + [(9, "other text here", "t", 99)]
+    names = "doc_id bigint, text string, source string, times int"
+    docs = spark.createDataFrame(rows, names).selectExpr("*", "1 AS id", "2 AS key", "3 AS content", "4 AS row", "map('a', 1) AS m")
+    taken = {}
+    for r in mixing.mix(docs).collect():
+        taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + r["taken"] // r["size"]
+    found = mixing.sample(docs)
+    assert found.columns == docs.columns
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["doc_id"], []).append(r["times"])
+    assert {k: len(v) for k, v in got.items()} == {k: v for k, v in taken.items() if v}
+    for times in got.values():
+        shares = [times.count(t) for t in range(12)]
+        if 99 not in times:
+            own = [n for t, n in enumerate(shares) if (t % 2 == 0) == (times[0] % 2 == 0)]
+            assert max(own) - min(own) <= 1
