@@ -84,8 +84,9 @@ class Coder:
             some = plain[lo : lo + 20_000]
             ids = self._ids("\n".join(some))
             cuts = np.flatnonzero(ids == self.split)
-            if len(cuts) != len(some) - 1:
-                raise RuntimeError("the tokenizer's pieces cross a line break")
+            if len(cuts) != len(some) - 1:  # a piece crosses a line break: unit by unit
+                self.memo.update((u, self._direct(u)) for u in some)
+                continue
             raw = ids.tobytes()
             begins, ends = [0, *((cuts + 1) * ids.itemsize).tolist()], [*(cuts * ids.itemsize).tolist(), len(raw)]
             self.memo.update((u, raw[a:b]) for u, a, b in zip(some, begins, ends, strict=True))
