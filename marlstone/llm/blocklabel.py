@@ -21,6 +21,8 @@ from .htmlblocks import Block, read_blocks
 PATH_SLOTS, WORD_SLOTS, PATH_SIZE, WORD_SIZE, MEASURES, HIDDEN = 2048, 1024, 16, 6, 7, 20
 INPUT = PATH_SIZE + WORD_SIZE + MEASURES
 TRAINING_PAGES, EPOCHS, SEED = 1200, 8, 5
+#: Blocks that the network runs over at once, padding included.
+PIECE = 4096
 
 
 def _slot(token: str, slots: int) -> int:
@@ -40,13 +42,12 @@ def _path_slots(path: tuple[tuple[str, tuple[str, ...]], ...]) -> tuple[int, ...
 
 
 def features(blocks: Sequence[Block]) -> tuple[list[tuple[int, ...]], list[list[int]], np.ndarray]:
-    """Of every block: path slots, word slots (of at most its first and last four words) and measures."""
+    """Of every block: path slots, the slots of all its words, and measures."""
     paths = [_path_slots(tuple((e.tag, e.names) for e in b.path if e.tag not in ("html", "body"))) for b in blocks]
     words, measures = [], np.zeros((len(blocks), MEASURES))
     for i, b in enumerate(blocks):
-        split = b.text.split(" ", 8)
-        some = [w.lower() for w in (split[:4] + b.text.rsplit(" ", 4)[1:] if len(split) > 8 else split)]
-        words.append([_slot(w, WORD_SLOTS) for w in some])
+        split = b.text.lower().encode("utf-8", "replace").split()
+        words.append([zlib.crc32(w) % WORD_SLOTS for w in split])
         n = len(b.text)
         measures[i] = (np.log1p(n) / 6, b.linked / max(n, 1), i / max(len(blocks), 1), b.text[-1:] in ".!?:", len(split) <= 3, "©" in b.text, b.path[-1].tag[:1] == "h" if b.path else 0)
     return paths, words, measures
@@ -58,8 +59,7 @@ def _bag(slots: Sequence[Sequence[int]], table: np.ndarray, power: float) -> tup
     flat = np.fromiter((x for s in slots for x in s), np.int64, int(sizes.sum()))
     owner = np.repeat(np.arange(len(slots)), sizes)
     scale = 1.0 / np.maximum(sizes, 1) ** power
-    out = np.zeros((len(slots), table.shape[1]))
-    np.add.at(out, owner, table[flat])
+    out = np.stack([np.bincount(owner, column[flat], len(slots)) for column in table.T], axis=1)
     return out * scale[:, None], flat, owner, scale
 
 
@@ -67,10 +67,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _run(x: np.ndarray, mask: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray, keep: bool):
-    """An LSTM over x (time, batch, input); states stand still where the mask is 0."""
+def _run(x: np.ndarray, mask: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray, keep: bool, state: tuple[np.ndarray, np.ndarray] | None = None):
+    """An LSTM over x (time, batch, input) from a state; states stand still where the mask is 0."""
     steps, batch, hidden = x.shape[0], x.shape[1], u.shape[0]
-    h, c = np.zeros((batch, hidden)), np.zeros((batch, hidden))
+    h, c = state or (np.zeros((batch, hidden)), np.zeros((batch, hidden)))
     out, trace = np.zeros((steps, batch, hidden)), []
     inputs = x @ w + b
     for t in range(steps):
@@ -85,7 +85,7 @@ def _run(x: np.ndarray, mask: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.nd
         c = m * fresh + (1 - m) * c
         h = m * (o * tanh) + (1 - m) * h
         out[t] = h
-    return out, trace
+    return out, trace, (h, c)
 
 
 def _run_back(d_out: np.ndarray, x: np.ndarray, trace: list, w: np.ndarray, u: np.ndarray):
@@ -121,28 +121,59 @@ class Labeller:
             parts |= {f"w{side}": draw(INPUT, 4 * HIDDEN) * 3, f"u{side}": draw(HIDDEN, 4 * HIDDEN) * 3, f"b{side}": np.zeros(4 * HIDDEN)}
         return cls(parts | {"v": draw(2 * HIDDEN + INPUT), "c": np.zeros(1)})
 
+    def _rows(self, pages: list):
+        """The inputs of all blocks of some pages, and what the gradient needs."""
+        p = self.parts
+        bags = [_bag([s for f in pages for s in f[0]], p["paths"], 0.5), _bag([s for f in pages for s in f[1]], p["words"], 1.0)]
+        return np.concatenate([bags[0][0], bags[1][0], np.concatenate([f[2] for f in pages])], axis=1), bags
+
     def _forward(self, pages: list, keep: bool):
         p = self.parts
         sizes = [len(f[0]) for f in pages]
         steps = max(sizes)
-        bags = [_bag([s for f in pages for s in f[0]], p["paths"], 0.5), _bag([s for f in pages for s in f[1]], p["words"], 1.0)]
-        rows = np.concatenate([bags[0][0], bags[1][0], np.concatenate([f[2] for f in pages])], axis=1)
+        rows, bags = self._rows(pages)
         time = np.concatenate([np.arange(n) for n in sizes])
         page = np.repeat(np.arange(len(pages)), sizes)
         x, mask = np.zeros((steps, len(pages), INPUT)), np.zeros((steps, len(pages)))
         x[time, page], mask[time, page] = rows, 1
-        forth, trace_f = _run(x, mask, p["wf"], p["uf"], p["bf"], keep)
-        back, trace_b = _run(x[::-1], mask[::-1], p["wb"], p["ub"], p["bb"], keep)
+        forth, trace_f, _ = _run(x, mask, p["wf"], p["uf"], p["bf"], keep)
+        back, trace_b, _ = _run(x[::-1], mask[::-1], p["wb"], p["ub"], p["bb"], keep)
         joint = np.concatenate([forth, back[::-1], x], axis=2)
         logits = joint[time, page] @ p["v"] + p["c"]
         return logits, (x, joint, time, page, trace_f, trace_b, bags)
 
+    def _long(self, page: tuple) -> np.ndarray:
+        """The logits of one long page: both directions run over it in pieces and hand their states on."""
+        p, n = self.parts, len(page[0])
+        spans = [slice(lo, min(lo + PIECE, n)) for lo in range(0, n, PIECE)]
+        read = lambda s: self._rows([(page[0][s], page[1][s], page[2][s])])[0][:, None, :]
+        out, state = np.empty(n), None
+        for s in spans:
+            x = read(s)
+            forth, _, state = _run(x, np.ones((len(x), 1)), p["wf"], p["uf"], p["bf"], False, state)
+            out[s] = forth[:, 0] @ p["v"][:HIDDEN] + x[:, 0] @ p["v"][2 * HIDDEN :] + p["c"]
+        state = None
+        for s in reversed(spans):
+            x = read(s)[::-1]
+            back, _, state = _run(x, np.ones((len(x), 1)), p["wb"], p["ub"], p["bb"], False, state)
+            out[s] += back[::-1, 0] @ p["v"][HIDDEN : 2 * HIDDEN]
+        return out
+
     def logits(self, pages: list, batch: int = 64) -> list[np.ndarray]:
-        """For each page's features, a logit for every block: above 0 is main text. Pages of like length run together."""
+        """For each page's features, a logit for every block: above 0 is main text. Pages of like length run together,
+        as many as have PIECE blocks with the padding; a page with more runs by itself, in pieces."""
         out: list[np.ndarray] = [np.zeros(0)] * len(pages)
         order = sorted((i for i in range(len(pages)) if len(pages[i][0])), key=lambda i: len(pages[i][0]))
-        for lo in range(0, len(order), batch):
-            some = order[lo : lo + batch]
+        groups: list[list[int]] = []
+        for i in order:
+            size = len(pages[i][0])
+            if size > PIECE:
+                out[i] = self._long(pages[i])
+            elif groups and len(groups[-1]) < batch and (len(groups[-1]) + 1) * size <= PIECE:
+                groups[-1].append(i)
+            else:
+                groups.append([i])
+        for some in groups:
             found, _ = self._forward([pages[i] for i in some], False)
             for i, part in zip(some, np.split(found, np.cumsum([len(pages[i][0]) for i in some])[:-1]), strict=True):
                 out[i] = part
@@ -160,8 +191,7 @@ class Labeller:
         dx_b, out["wb"], out["ub"], out["bb"] = _run_back(d_joint[::-1, :, HIDDEN : 2 * HIDDEN], x[::-1], trace_b, p["wb"], p["ub"])
         d_rows = (dx_f + dx_b[::-1] + d_joint[:, :, 2 * HIDDEN :])[time, page]
         for name, (_, flat, owner, scale), lo, hi in (("paths", bags[0], 0, PATH_SIZE), ("words", bags[1], PATH_SIZE, PATH_SIZE + WORD_SIZE)):
-            out[name] = np.zeros_like(p[name])
-            np.add.at(out[name], flat, (d_rows[:, lo:hi] * scale[:, None])[owner])
+            out[name] = np.stack([np.bincount(flat, column[owner], len(p[name])) for column in (d_rows[:, lo:hi] * scale[:, None]).T], axis=1)
         return out
 
     def train(self, pages: list, labels: list[np.ndarray], epochs: int, batch: int = 24, rate: float = 0.01) -> None:
@@ -305,6 +335,8 @@ def generated_page(rng: random.Random) -> tuple[str, list[str]]:
     page = _Page(rng)
     page.markup.append(f"<!DOCTYPE html><html><head><title>{page.sentence()}</title><style>p{{margin:0}}</style><script>var t=\"</p>\";</script></head><body>")
     wrap = rng.random() < 0.4
+    whole = rng.random() < 0.1  # some servers wrap the whole page in a form
+    page.markup.append(rng.choice(['<form id="aspnetForm" method="post">', "<form>", '<form class="page">']) if whole else "")
     page.markup.append('<div class="page wrapper">' if wrap else "")
     for part, chance in (("notice", 0.3), ("header", 0.5), ("menu", 0.8), ("advert", 0.5), ("form", 0.2), ("side", 0.2)):
         if rng.random() < chance:
@@ -315,6 +347,7 @@ def generated_page(rng: random.Random) -> tuple[str, list[str]]:
         if rng.random() < chance:
             page.other(part)
     page.markup.append("</div>" if wrap else "")
+    page.markup.append("</form>" if whole else "")
     page.markup.append("</body></html>" if rng.random() < 0.85 else "")
     return "".join(page.markup), page.lines
 

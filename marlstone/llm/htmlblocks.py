@@ -18,11 +18,15 @@ UNREAD = frozenset("script style noscript template iframe svg math object canvas
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = frozenset("article aside blockquote body div fieldset footer form header main nav section table td th ul ol dl li".split())
 
+#: Open elements that are kept track of; deeper ones are taken as text of the deepest, as browsers cap the depth.
+DEEPEST = 256
+
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>",
     re.S,
 )
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_UNCLOSED = re.compile(r"<!--|<!\[CDATA\[")
 _WORD = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -54,6 +58,7 @@ class _Reader:
         self.parts: list[str] = []
         self.linked = self.links = 0
         self.path: tuple[Element, ...] = ()
+        self.open_path: tuple[Element, ...] | None = ()  # of the stack, until it changes
         self.blocks: list[Block] = []
 
     def text(self, raw: str) -> None:
@@ -64,7 +69,9 @@ class _Reader:
             if plain.isspace():
                 self.parts.append(" ") if self.parts else None
                 return
-            self.path = tuple(self.stack)
+            if self.open_path is None:
+                self.open_path = tuple(self.stack)
+            self.path = self.open_path
         self.parts.append(plain)
         if self.links:
             self.linked += len(plain)
@@ -79,13 +86,15 @@ class _Reader:
         for e in self.stack[place:]:
             self.links -= e.tag == "a"
         del self.stack[place:]
+        self.open_path = None
 
     def open(self, tag: str, attributes: str) -> None:
         if tag in BREAKING:
             self.cut()
             self.imply(tag)
-        if tag in VOID:
+        if tag in VOID or len(self.stack) >= DEEPEST:
             return
+        self.open_path = None
         self.stack.append(Element(tag, element_names(attributes)))
         self.links += tag == "a"
 
@@ -112,15 +121,20 @@ class _Reader:
 
 def read_blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page in order; none for null or empty text. White space inside a block is one blank; what
-    stands in scripts, styles, comments and the head isn't text. Unclosed and stray tags are borne."""
+    stands in scripts, styles, comments and the head isn't text. Unclosed and stray tags are borne; the time is linear
+    in the page's length."""
     reader, at = _Reader(), 0
     page = page or ""
+    last, heads = page.rfind(">") + 1, True  # no tag ends behind; whether an end of the head may follow
     while True:
-        found = _TAG.search(page, at)
+        found = _TAG.search(page, at, last)
         if found is None:
             break
         reader.text(page[at : found.start()])
         at = found.end()
+        if found[0].startswith(("<!--", "<![CDATA[")) and not found[0].endswith(("-->", "]]>")):
+            at = len(page)
+            break
         end, tag = found[1] if found[2] else found[4], (found[2] or found[5] or "").lower()
         if not tag:
             continue
@@ -131,14 +145,17 @@ def read_blocks(page: str | None) -> list[Block]:
         elif tag in UNREAD and not (found[3] or found[6] or "").rstrip().endswith("/"):
             if tag == "head":
                 reader.cut()
-            stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if tag == "head" and not heads:
+                continue
+            stop = re.compile(rf"</{re.escape(tag)}\s{{0,99}}>", re.I).search(page, at)
             if tag == "head" and stop is None:
                 stop = re.compile(r"(?=<body[\s>])", re.I).search(page, at)
-                at = stop.end() if stop else at
+                at, heads = stop.end() if stop else at, stop is not None
             else:
                 at = stop.end() if stop else len(page)
         else:
             reader.open(tag, found[3] or found[6] or "")
-    reader.text(page[at:])
+    unclosed = _UNCLOSED.search(page, at)
+    reader.text(page[at : unclosed.start() if unclosed else len(page)])
     reader.cut()
     return reader.blocks

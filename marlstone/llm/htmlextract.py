@@ -12,8 +12,9 @@ from . import common
 from .blocklabel import Labeller, features, trained
 from .htmlblocks import read_blocks
 
-#: An exact check after the labels: a block inside one of these elements is never main text.
-NEVER = frozenset("nav footer aside form dialog menu button select option label title".split())
+#: An exact check after the labels: a block inside one of these elements is never main text. Elements that may hold a
+#: whole page, or parts of an article, such as forms and asides, are left to the network.
+NEVER = frozenset("nav footer dialog menu button select option".split())
 #: Characters of markup that are labelled together.
 BATCH_CHARS = 4 << 20
 
@@ -31,7 +32,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", markup: st
     Null or empty markup has an empty text, as a page without main blocks has. Character references are decoded,
     white space inside a block is one blank, blocks are joined by a line break; nothing else is dropped or cut. Pages
     are read one by one: repeated rows give repeated results, an empty table an empty one; other columns are not
-    read. Very long pages are read whole, in a batch of their own.
+    read. Very long pages are read whole; the network runs over them in pieces.
     """
     spark = pages.sparkSession
     common.ship(spark)

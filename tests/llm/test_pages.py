@@ -54,6 +54,41 @@ def test_labels_of_unseen_pages():
     assert wrong < 0.01 * blocks_seen
 
 
+def test_a_long_page_beside_small_ones():
+    """Long pages run in pieces, with the same labels, and in memory that doesn't grow with what stands beside them."""
+    import tracemalloc
+
+    rng, labeller = random.Random(3), blocklabel.trained()
+    page = blocklabel.features(read_blocks("".join(blocklabel.generated_page(rng)[0] for _ in range(250))))
+    assert len(page[0]) > blocklabel.PIECE
+    whole = labeller._forward([page], False)[0]
+    assert np.allclose(labeller.logits([page])[0], whole)
+    markup = "<p>a</p>" * 30_000
+    blocks = read_blocks(markup)
+    small = blocklabel.features(read_blocks("<p>b</p>"))
+    long = blocklabel.features(blocks)
+    tracemalloc.start()
+    found = labeller.logits([small] * 63 + [long])
+    assert [len(f) for f in found] == [1] * 63 + [30_000] and tracemalloc.get_traced_memory()[1] < 40 << 20
+    tracemalloc.stop()
+
+
+def test_time_is_linear():
+    """A megabyte of unclosed tags, comments, heads or open elements takes seconds at most."""
+    import time
+
+    for part in ("<b ", "<!-- ", "<head>", "<div>x", "<span>x", "<a '>", '<b ">y', "<script ", "</p", "<![CDATA["):
+        began = time.time()
+        read_blocks(part * (1_000_000 // len(part)))
+        read_blocks(part * (500_000 // len(part)) + ">")
+        assert time.time() - began < 20, part
+
+
+def test_a_page_inside_one_form():
+    page = '<body><form method="post" action="/x.aspx"><div class="menu"><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li></ul></div><div class="content"><h1>A title of the story</h1><p>The first sentence of the story is here. And a second one follows it.</p><p>More of the same story, told at some length.</p></div><div class="footer">Terms of use</div></form></body>'
+    assert htmlextract.main_texts([page], blocklabel.trained())[0].split("\n") == ["A title of the story", "The first sentence of the story is here. And a second one follows it.", "More of the same story, told at some length."]
+
+
 def test_extraction(spark):
     page = "<html><head><title>T</title></head><body><nav><ul><li><a href=/>Home</a></li></ul></nav><div class=ad>Buy a thing now.</div><article><h1>A title here</h1><p>First words of the story.<p>More of it &eacute; there.</article><footer>&copy; me</footer>"
     rows = [(1, "u", page), (1, "u", page), (2, None, None), (3, "", ""), (None, "x", "<p>"), (4, "y", page.replace("More", "More and " * 20_000))]
