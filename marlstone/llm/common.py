@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.session import new_path, shared_dir, ship, staged
 
-__all__ = ["SPACE", "WORD", "ascii_lower", "new_path", "row_name", "shared_dir", "ship", "staged", "table", "word_count", "words"]
+__all__ = ["SPACE", "WORD", "ascii_lower", "new_path", "row_name", "shared_dir", "ship", "spread", "staged", "table", "word_count", "words"]
 
 #: One run of ASCII white space, as the contracts define it.
 SPACE = r"[\x20\x09-\x0D]"
@@ -21,6 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores at least: a small table is often one file with one row group."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def row_name(key: str, text: str) -> Column:
     """What tells rows apart whose key is null or repeated: the key (nulls last in order) and the text's hash."""
     return F.struct(F.col(key).isNull().alias("missing"), F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("hash"))
