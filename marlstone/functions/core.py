@@ -167,14 +167,82 @@ def ascii_upper(text) -> Column:
 
 def like(text, pattern, escape: str | None = None, case_sensitive: bool = False) -> Column:
     """LIKE without regard to ASCII case. A backslash is an ordinary character unless it is the escape."""
-    text, pattern = col(text), pattern if isinstance(pattern, Column) else F.lit(pattern)
+    text = col(text)
+    if escape is not None:
+        # The escape is found before case is folded; Java's (?i) folds ASCII only.
+        regex = F.lit(like_regex(pattern, escape)) if isinstance(pattern, str) else _like_regex(col(pattern), escape)
+        return F.rlike(text, regex if case_sensitive else F.concat(F.lit("(?i)"), regex))
+    pattern = pattern if isinstance(pattern, Column) else F.lit(pattern)
     if not case_sensitive:
         text, pattern = ascii_lower(text), ascii_lower(pattern)
-        escape = escape.lower() if escape and escape.isascii() else escape
-    if escape is None:
-        # Spark's own default escape is the backslash; one that no pattern holds stands in for none.
-        return F.like(text, F.replace(pattern, F.lit("\\"), F.lit("\\\\")), F.lit("\\"))
-    return F.like(text, pattern, F.lit(escape))
+    # Spark's own default escape is the backslash; one that no pattern holds stands in for none.
+    return F.like(text, F.replace(pattern, F.lit("\\"), F.lit("\\\\")), F.lit("\\"))
+
+
+def like_regex(pattern: str, escape: str) -> str:
+    """A LIKE pattern as an anchored regular expression: the escape makes any character behind it an ordinary one, and
+    at the end of the pattern it matches nothing."""
+    out, plain = [], False
+    for c in pattern:
+        if c == escape and not plain:
+            plain = True
+            continue
+        out.append(f"\\Q{c}\\E" if plain or c not in "%_" else ".*" if c == "%" else ".")
+        plain = False
+    return r"(?s)\A" + "".join(out) + (r"(?!)" if plain else "") + r"\z"
+
+
+def _like_regex(pattern: Column, escape: str) -> Column:
+    """The same of a column of patterns."""
+
+    def step(done: Column, c: Column) -> Column:
+        quoted = F.concat(F.lit("\\Q"), c, F.lit("\\E"))
+        part = F.when(done["plain"], quoted).when(c == "%", ".*").when(c == "_", ".").otherwise(quoted)
+        starts = ~done["plain"] & (c == escape)
+        return F.struct(F.when(starts, done["out"]).otherwise(F.concat(done["out"], part)).alias("out"), starts.alias("plain"))
+
+    characters = F.regexp_extract_all(pattern, F.lit("(?s)."), F.lit(0))
+    start = F.struct(F.lit(r"(?s)\A").alias("out"), F.lit(False).alias("plain"))
+    return F.aggregate(characters, start, step, lambda done: F.concat(done["out"], F.when(done["plain"], "(?!)").otherwise(""), F.lit(r"\z")))
+
+
+def match_(text, pattern) -> Column:
+    """MATCH has no meaning outside full-text tables."""
+    raise ValueError("unable to use function MATCH in the requested context")
+
+
+def literal(text: str) -> Column:
+    """A number as it stands in a query: decimal, 0x and hexadecimal digits (as 64 bits), or real. An integer beyond
+    64 bits is real."""
+    if text[:2].lower() == "0x":
+        value = int(text, 16)
+        if value >= 1 << 64:
+            raise ValueError(f"hex literal too big: {text}")
+        return F.lit(value - (1 << 64) if value >> 63 else value).cast("bigint")
+    if text.isdigit():
+        return F.lit(int(text)).cast("bigint") if int(text) < 1 << 63 else F.lit(float(text))
+    return F.lit(float(text))
+
+
+def compare(a, b, op: str, affinities: tuple[str, str] = ("BLOB", "BLOB"), sources: tuple[str, str] = ("string", "string")) -> Column:
+    """A comparison (= == <> != < <= > >=) of columns with declared affinities: a text that meets a numeric column is read as
+    a number if all of it is one; otherwise every number is less than every text. sources: the columns' Spark types."""
+    numeric = ("INTEGER", "REAL", "NUMERIC")
+    sides, texts = [col(a), col(b)], [s == "string" for s in sources]
+    order = {"=": lambda x, y: x == y, "==": lambda x, y: x == y, "<>": lambda x, y: x != y, "!=": lambda x, y: x != y, "<": lambda x, y: x < y, "<=": lambda x, y: x <= y, ">": lambda x, y: x > y, ">=": lambda x, y: x >= y}[op]
+    if texts[0] == texts[1]:
+        return order(*sides)
+    t = texts.index(True)
+    if affinities[1 - t] not in numeric:  # a column with TEXT affinity reads the number as text; without, classes differ
+        if affinities[t] == "TEXT":
+            sides[1 - t] = sides[1 - t].cast("string")
+            return order(*sides)
+        number = F.lit(None).cast("double")
+    else:
+        number = compare_numeric(F.when(sides[t].rlike(NUMBER + r"\s*$"), F.btrim(sides[t])))
+    as_numbers = [number, sides[1].cast("double")] if t == 0 else [sides[0].cast("double"), number]
+    apart = F.when(sides[0].isNotNull() & sides[1].isNotNull(), order(F.lit(1 - t), F.lit(t)))
+    return F.when(number.isNotNull(), order(*as_numbers)).otherwise(apart)
 
 
 def glob_regex(pattern: str) -> str:

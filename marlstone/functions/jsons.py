@@ -295,7 +295,7 @@ def spark_path(path: str) -> str | None:
 
 def json_extract(text, *paths: str, returns: str = "string") -> Column:
     """One path: the value there, a text without its quotes, cast to ``returns``; several: an array. NULL for JSON
-    null; true and false are 1 and 0 of a numeric type."""
+    null; true and false are 1 and 0."""
     if len(paths) > 1:
         steps = [path_steps(p) for p in paths]
         return _over(lambda t: render([find(tree, s)[1] for tree in [parse(t)] for s in steps]))(col(text))
@@ -304,6 +304,9 @@ def json_extract(text, *paths: str, returns: str = "string") -> Column:
         found = _over(lambda t, s=path_steps(paths[0]): _sql_text(find(parse(t), s)))(col(text))
     else:
         found = F.get_json_object(col(text), plain)
+        # A text may be 'true' as well: the value's type tells.
+        kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(col(text)), plain, "variant"))
+        found = F.when(found.isin("true", "false"), F.when(kind == "BOOLEAN", (found == "true").cast("int").cast("string")).otherwise(found)).otherwise(found)
     if returns == "string":
         return found
     return F.when(found == "true", F.lit(1)).when(found == "false", F.lit(0)).otherwise(found.try_cast(returns)).cast(returns)
@@ -359,6 +362,13 @@ def json_type(text, path: str = "$") -> Column:
 def json_array_length(text, path: str = "$") -> Column:
     """0 for what isn't an array; NULL where nothing is."""
     plain = spark_path(path)
+    if plain is None:
+
+        def length(t: str, steps=path_steps(path)) -> int | None:
+            ok, value = find(parse(t), steps)
+            return None if not ok else len(value) if isinstance(value, list) and not isinstance(value, Members) else 0
+
+        return _over(length, "bigint")(col(text))
     found = col(text) if path == "$" else F.get_json_object(col(text), plain)
     return F.when(found.isNotNull(), F.coalesce(F.json_array_length(found), F.lit(0))).cast("bigint")
 
@@ -398,3 +408,18 @@ def json_each(text) -> Column:
         return [{"key": None, "value": render(tree)}]
 
     return _over(run, "array<struct<key:string,value:string>>")(col(text))
+
+
+def json_tree(text) -> Column:
+    """All values of a text in order, outermost first, as an array of fullkey, path, key, type and value (JSON text; of
+    arrays and objects too), for explode."""
+
+    def walk(tree, full: str, path: str | None, key: str | None) -> list:
+        kind = "null" if tree is None else str(tree).lower() if isinstance(tree, bool) else ("real" if any(c in tree for c in ".eE") else "integer") if isinstance(tree, Raw) else "text" if isinstance(tree, str) else "object" if isinstance(tree, Members) else "array"
+        found = [{"fullkey": full, "path": path, "key": key, "type": kind, "value": render(tree)}]
+        inner = [(f"{full}.{k}" if k.isidentifier() else f'{full}."{k}"', k, v) for k, v in tree] if kind == "object" else [(f"{full}[{i}]", str(i), v) for i, v in enumerate(tree)] if kind == "array" else []
+        for deeper, k, v in inner:
+            found += walk(v, deeper, full, k)
+        return found
+
+    return _over(lambda t: walk(parse(t), "$", None, None), "array<struct<fullkey:string,path:string,key:string,type:string,value:string>>")(col(text))

@@ -43,7 +43,7 @@ def log(x, y=None) -> Column:
     """log(x) is to base 10; log(b, x) to base b, NULL unless b > 1 and x > 0."""
     if y is None:
         return log10(x)
-    return F.when((real(x) > 0) & (real(x) != 1) & (real(y) > 0), F.ln(real(y)) / F.ln(F.when(real(x) != 1, real(x))))
+    return F.when((real(x) > 1) & (real(y) > 0), F.ln(real(y)) / F.ln(F.when(real(x) > 1, real(x))))
 
 
 def atan2(y, x) -> Column:

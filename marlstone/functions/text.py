@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ lower, upper = ascii_lower, ascii_upper
 
 def length(value) -> Column:
     """Code points of a text, bytes of a binary value, characters of a number's text."""
-    return F.length(col(value).cast("string"))
+    return F.length(col(value))
 
 
 def octet_length(value) -> Column:
@@ -131,28 +133,17 @@ def soundex(text) -> Column:
     return _mapped(soundex_code, col(text).cast("string"))
 
 
+_ESCAPED = re.compile(r"\\u([0-9a-fA-F]{4})|\\U([0-9a-fA-F]{8})")
+
+
 def unescape(text: str | None) -> str | None:
-    r"""\XXXX, \uXXXX, \+XXXXXX and \UXXXXXXXX to their characters, \\ to a backslash; None for anything else."""
-    if text is None:
-        return None
-    out, i = [], 0
-    while i < len(text):
-        if text[i] != "\\":
-            out.append(text[i])
-            i += 1
-            continue
-        if text[i + 1 : i + 2] == "\\":
-            out.append("\\")
-            i += 2
-            continue
-        kind = text[i + 1 : i + 2]
-        skip, size = {"u": (2, 4), "U": (2, 8), "+": (2, 6)}.get(kind, (1, 4))
-        digits = text[i + skip : i + skip + size]
-        if len(digits) != size or any(c not in "0123456789abcdefABCDEF" for c in digits) or int(digits, 16) > 0x10FFFF:
-            return None
-        out.append(chr(int(digits, 16)))
-        i += skip + size
-    return "".join(out)
+    r"""\uXXXX and \UXXXXXXXX to their characters; every other backslash stays, as do codes that are no characters."""
+
+    def character(found: re.Match) -> str:
+        code = int(found[1] or found[2], 16)
+        return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else found[0]
+
+    return None if text is None else _ESCAPED.sub(character, text)
 
 
 def unistr(text) -> Column:

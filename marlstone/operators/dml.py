@@ -77,10 +77,12 @@ def insert(table: DataFrame, rows: DataFrame, defaults: Mapping[str, Column] | N
 
 
 def _last(rows: DataFrame, key: list[str], order: list[Column], first: bool) -> DataFrame:
-    """Of rows with the same key, the first or last in order, found by a hash aggregate."""
+    """Of rows with the same key, the first or last in order, found by a hash aggregate. A key with a NULL equals no
+    other: such rows all stay."""
+    whole = " AND ".join(f"`{c}` IS NOT NULL" for c in key)
     packed = F.struct(*rows.columns)
     pick = (F.min_by if first else F.max_by)(packed, F.struct(*order))
-    return rows.groupBy(*key).agg(pick.alias("__row")).select("__row.*")
+    return rows.where(whole).groupBy(*key).agg(pick.alias("__row")).select("__row.*").unionByName(rows.where(f"NOT ({whole})"))
 
 
 def insert_or_ignore(table: DataFrame, rows: DataFrame, key: list[str], order: list[Column]) -> Change:
@@ -117,6 +119,85 @@ def upsert(table: DataFrame, rows: DataFrame, key: list[str], sets: Mapping[str,
     return Change(out.drop("__kind"), out.where("__kind <> 'keep'").drop("__kind"))
 
 
+def insert_default(table: DataFrame, defaults: Mapping[str, Column] | None = None) -> Change:
+    """INSERT ... DEFAULT VALUES: one row of defaults."""
+    return insert(table, table.sparkSession.range(1).select(F.lit(1).alias("__one")), defaults)
+
+
+#: What a statement may do with a row that breaks a constraint.
+CONFLICTS = ("ABORT", "FAIL", "ROLLBACK", "IGNORE", "REPLACE")
+
+
+def insert_checked(table: DataFrame, rows: DataFrame, limits: Constraints, conflict: str = "ABORT", order: list[Column] | None = None, defaults: Mapping[str, Column] | None = None) -> Change:
+    """INSERT OR ...: rows that keep the constraints; rows are taken in the given order.
+
+    ABORT, FAIL and ROLLBACK raise ConstraintError and leave the table as it is: a statement is one step here, so that FAIL
+    keeps no earlier rows and ROLLBACK is the caller's. IGNORE leaves out the rows that break NOT NULL, CHECK or UNIQUE. REPLACE lets
+    a row take the place of those with its unique keys, and a NULL take the default where there is one. Foreign keys always raise.
+    """
+    if conflict not in CONFLICTS:
+        raise ValueError(f"no such conflict action: {conflict}")
+    order = order or [F.col(c) for c in table.columns]
+    new = insert(table.limit(0), rows, defaults).returning
+    if conflict == "REPLACE":
+        filled = {c: F.coalesce(F.col(c), (defaults or {}).get(c, F.lit(None)).cast(t)) for c, t in table.dtypes if c in limits.not_null}
+        new = new.select([filled.get(c, F.col(c)).alias(c) for c in table.columns])
+        old = table
+        for key in limits.unique:
+            change = insert_or_replace(old, new, list(key), order)
+            new = change.returning
+            old = old.join(new.select(*key), list(key), "left_anti").select(table.columns)
+        done = Change(old.unionByName(new), new)
+    elif conflict == "IGNORE":
+        kept = F.lit(True)
+        for c in limits.not_null:
+            kept = kept & F.col(c).isNotNull()
+        for check in limits.checks.values():
+            kept = kept & F.coalesce(check.cast("boolean"), F.lit(True))
+        new = new.where(kept)
+        for key in limits.unique:
+            new = insert_or_ignore(table, new, list(key), order).returning
+        done = Change(table.unionByName(new), new)
+    else:
+        done = Change(table.unionByName(new), new)
+    return Change(limits.check(done.table), done.returning)
+
+
+def update_checked(table: DataFrame, sets: Mapping[str, Column], limits: Constraints, key: list[str], where: Column | None = None, conflict: str = "ABORT") -> Change:
+    """UPDATE OR ...: key tells the table's rows apart. IGNORE leaves a row as it was where its new values break NOT NULL or
+    CHECK, or a unique key that another row has; REPLACE removes the other rows; the rest raise."""
+    if conflict not in CONFLICTS:
+        raise ValueError(f"no such conflict action: {conflict}")
+    done = update(table, sets, where)
+    if conflict in ("IGNORE", "REPLACE"):
+        hit = F.coalesce(where, F.lit(False)) if where is not None else F.lit(True)
+        marked = table.withColumn("__hit", hit)
+        new = marked.where("__hit").select([(sets[c] if c in sets else F.col(c)).cast(t).alias(c) for c, t in table.dtypes] + [F.col(k).alias(f"__old_{k}") for k in key])
+        untouched = marked.where("NOT __hit").drop("__hit")
+        if conflict == "REPLACE":
+            for unique in limits.unique:
+                new = _last(new, list(unique), [F.col(f"__old_{k}") for k in key], False)
+                untouched = untouched.join(new.select(*unique), list(unique), "left_anti").select(table.columns)
+            changed = new.select(table.columns)
+            done = Change(untouched.unionByName(changed), changed)
+        else:
+            good = F.lit(True)
+            for c in limits.not_null:
+                good = good & F.col(c).isNotNull()
+            for check in limits.checks.values():
+                good = good & F.coalesce(check.cast("boolean"), F.lit(True))
+            new = new.where(good)
+            for unique in limits.unique:
+                if not set(unique) & set(sets):
+                    continue
+                # Of several rows that would get one key the first gets it, unless a row has it already.
+                new = _last(new, list(unique), [F.col(f"__old_{k}") for k in key], True)
+                new = new.join(table.select(*unique), list(unique), "left_anti")
+            changed, gone = new.select(table.columns), new.select([F.col(f"__old_{k}").alias(k) for k in key])
+            done = Change(table.join(gone, key, "left_anti").select(table.columns).unionByName(changed), changed)
+    return Change(limits.check(done.table), done.returning)
+
+
 def update(table: DataFrame, sets: Mapping[str, Column], where: Column | None = None) -> Change:
     """All expressions see the old row; a WHERE that is NULL leaves the row."""
     hit = F.coalesce(where, F.lit(False)) if where is not None else F.lit(True)
@@ -145,7 +226,13 @@ def delete(table: DataFrame, where: Column | None = None) -> Change:
 def chosen(table: DataFrame, order: list[Column], limit: int, offset: int = 0, where: Column | None = None) -> DataFrame:
     """The rows that ORDER BY ... LIMIT ... picks for a change: a top-k, then a join on nothing but the table's key."""
     some = table.where(where) if where is not None else table
-    return some.orderBy(*order).offset(offset).limit(limit) if limit >= 0 else some.orderBy(*order).offset(offset)
+    return limited(some.orderBy(*order), limit, offset)
+
+
+def limited(df: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """LIMIT and OFFSET: a negative limit is none, a negative offset is zero."""
+    rest = df.offset(offset) if offset > 0 else df
+    return rest.limit(limit) if limit >= 0 else rest
 
 
 def delete_limited(table: DataFrame, key: list[str], order: list[Column], limit: int, where: Column | None = None) -> Change:

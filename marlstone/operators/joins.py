@@ -17,6 +17,20 @@ def natural(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
     return left.join(right, shared, how) if shared else left.crossJoin(right)
 
 
+def join(left: DataFrame, right: DataFrame, how: str = "inner", on: Column | None = None, columns: list[str] | None = None, is_natural: bool = False) -> DataFrame:
+    """A join with its modifiers checked: NATURAL goes with neither ON nor USING, and USING not with ON."""
+    if is_natural and (on is not None or columns):
+        raise ValueError("a NATURAL join may not have an ON or USING clause")
+    if on is not None and columns:
+        raise ValueError("cannot have both ON and USING clauses in the same join")
+    for c in columns or []:
+        if c not in left.columns or c not in right.columns:
+            raise ValueError(f"cannot join using column {c} - column not present in both tables")
+    if is_natural:
+        return natural(left, right, how)
+    return using(left, right, columns, how) if columns else left.join(right, on, how) if on is not None else left.crossJoin(right)
+
+
 def semi(left: DataFrame, right: DataFrame, on: Column | list[str]) -> DataFrame:
     return left.join(right, on, "left_semi")
 
@@ -35,10 +49,9 @@ def not_in(left: DataFrame, column: str, right: DataFrame, of: str) -> DataFrame
     return judged.where((F.col("__nulls") == 0) & ((F.col("__n") == 0) | F.col(column).isNotNull())).drop("__n", "__nulls")
 
 
-def first_match(left: DataFrame, right: DataFrame, on: Column, order: list[Column]) -> DataFrame:
-    """A scalar subquery's first row: of the right rows that match, the first in the given order."""
-    left = left.withColumn("__row", F.monotonically_increasing_id())
-    names = [c for c in left.columns if c != "__row"] + right.columns
-    both = left.join(right, on, "left")
-    packed = both.groupBy("__row").agg(F.min_by(F.struct(*[both[c] for c in names]), F.struct(*order)).alias("__all"))
-    return packed.select("__all.*")
+def first_match(left: DataFrame, right: DataFrame, left_key: str, right_key: str, order: list[Column]) -> DataFrame:
+    """A scalar subquery's first row: of the right rows with the same key, the first in the given order. The right side
+    is brought to one row a key before it meets the left one, whose rows move once."""
+    first = right.groupBy(F.col(right_key).alias("__key")).agg(F.min_by(F.struct(*right.columns), F.struct(*order)).alias("__first"))
+    joined = left.join(first, F.col(left_key) == F.col("__key"), "left")
+    return joined.select(*left.columns, *[F.col(f"__first.{c}").alias(c) for c in right.columns])

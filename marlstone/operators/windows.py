@@ -53,5 +53,32 @@ def extreme_excluding_current(kind: str, x, partition: list[str], order: list, s
     return pick(one(x).over(base.rowsBetween(start, -1)), one(x).over(base.rowsBetween(1, end)))
 
 
-def count_distinct_over(x, frame: WindowSpec) -> Column:
-    return F.size(F.collect_set(col(x)).over(frame)).cast("bigint")
+def count_distinct_over(x: str, partition: list[str], order: list | None = None) -> Column:
+    """count(DISTINCT x) over a partition, or with an order over all rows up to the current peers: each value counts
+    where it comes first. No row holds a partition's values."""
+    if order is None:
+        ranks = F.dense_rank().over(spec(partition, [F.col(x).asc_nulls_last()]))
+        return F.coalesce(F.max(F.when(F.col(x).isNotNull(), ranks)).over(Window.partitionBy(*partition)), F.lit(0)).cast("bigint")
+    first = F.row_number().over(spec([*partition, x], order)) == 1
+    return F.sum(F.when(first & F.col(x).isNotNull(), 1).otherwise(0)).over(spec(partition, order)).cast("bigint")
+
+
+def json_group_array_over(x, window: WindowSpec, source: str) -> Column:
+    """json_group_array(x) OVER: the frame's values in the window's order, NULL as null. Every row holds its frame."""
+    from marlstone.functions.jsons import json_quote
+
+    return F.concat(F.lit("["), F.array_join(F.collect_list(json_quote(x, source)).over(window), ","), F.lit("]"))
+
+
+def json_group_object_over(key, x, window: WindowSpec, source: str) -> Column:
+    from marlstone.functions.jsons import json_quote
+
+    member = F.concat(json_quote(key), F.lit(":"), json_quote(x, source))
+    return F.concat(F.lit("{"), F.array_join(F.collect_list(member).over(window), ","), F.lit("}"))
+
+
+def misuse(name: str, over: WindowSpec | None) -> None:
+    """A function that only windows have needs one."""
+    only = "row_number rank dense_rank percent_rank cume_dist ntile lag lead first_value last_value nth_value".split()
+    if over is None and name in only:
+        raise ValueError(f"misuse of window function {name}()")

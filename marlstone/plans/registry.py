@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from . import aggregation, changes, joining, scalars, selecting, windowing  # noqa: F401
+    from . import aggregation, changes, joining, limits, scalars, selecting, windowing  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -12,10 +12,9 @@ from .registry import query, table
 _UP, _LOW = core.UPPER, core.LOWER
 
 
-@query(f"SELECT doc_id, translate(left(text, 60), '{_UP}', '{_LOW}') AS low, translate(left(text, 60), '{_LOW}', '{_UP}') AS up FROM documents")
+@query(f"SELECT doc_id, md5(translate(text, '{_UP}', '{_LOW}')) AS low, md5(translate(text, '{_LOW}', '{_UP}')) AS up FROM documents")
 def ascii_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.substring("text", 1, 60)
-    return table(spark, sf_dir, "documents").select("doc_id", text.lower(t).alias("low"), text.upper(t).alias("up"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.lower("text")).alias("low"), F.md5(text.upper("text")).alias("up"))
 
 
 @query("SELECT doc_id, length(text) AS chars, strlen(text) AS bytes, length(n_chars::VARCHAR) AS digits FROM documents")

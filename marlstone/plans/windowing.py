@@ -116,7 +116,7 @@ def window_topk_outer_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey, count(DISTINCT o_orderpriority) OVER (PARTITION BY o_custkey) AS n FROM orders")
 def count_distinct_over(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _orders(spark, sf_dir).select("o_orderkey", windows.count_distinct_over("o_orderpriority", Window.partitionBy("o_custkey")).alias("n"))
+    return _orders(spark, sf_dir).select("o_orderkey", windows.count_distinct_over("o_orderpriority", ["o_custkey"]).alias("n"))
 
 
 @query("SELECT n_nationkey, string_agg(n_name, ',') OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS names FROM nation")

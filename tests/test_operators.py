@@ -91,3 +91,49 @@ def test_chance_and_blobs(spark):
     row = spark.range(50).select(core.random_integer().alias("r"), core.random_blob(11).alias("b"), core.zeroblob(3).alias("z"), core.likelihood("id", 0.5).alias("i"))
     found = row.collect()
     assert len({r["r"] for r in found}) == 50 and {len(r["b"]) for r in found} == {11} and found[0]["z"] == b"\0\0\0"
+
+
+def test_constraints_of_changes(spark):
+    from marlstone.sources.tables import Catalog
+
+    limits = dml.Constraints(not_null=("b",), unique=(("a",),), checks={"small": F.col("b") < 100})
+    rows = spark.createDataFrame([(1, 5), (None, 6), (None, 7)], "a int, b int")
+    more = spark.createDataFrame([(1, 8), (2, 9), (2, 10), (None, 11), (3, None), (4, 100)], "a int, b int")
+    catalog = Catalog(spark)
+    catalog.create_table("t", rows, constraints=limits, defaults={"b": F.lit(0)})
+    with pytest.raises(dml.ConstraintError):
+        catalog.insert("t", more)
+    assert catalog.table("t").count() == 3 and catalog.total_changes == 0
+    catalog.insert("t", more, "IGNORE", [F.col("b")])
+    assert sorted(map(str, catalog.table("t").collect())) == sorted(map(str, [*rows.collect(), *more.where("b IN (9, 11)").collect()]))
+    assert catalog.changes == 2
+    catalog.insert("t", spark.createDataFrame([(1, 50), (9, None)], "a int, b int"), "REPLACE")
+    assert {(r["a"], r["b"]) for r in catalog.table("t").where("a IS NOT NULL").collect()} == {(1, 50), (2, 9), (9, 0)}
+    done = dml.update_checked(catalog.table("t"), {"a": F.lit(2)}, limits, ["a"], F.col("a") > 0, "REPLACE")
+    assert {(r["a"], r["b"]) for r in done.table.where("a IS NOT NULL").collect()} == {(2, 0)} and done.table.count() == 4
+    with pytest.raises(dml.ConstraintError):
+        dml.update_checked(catalog.table("t"), {"a": F.lit(2)}, limits, ["a"], F.col("a") > 0)
+
+
+def test_refused_modifiers(spark):
+    from marlstone.functions import core
+    from marlstone.operators import joins, windows
+
+    a, b = spark.range(3).withColumn("x", F.lit(1)), spark.range(2)
+    for wrong in ({"is_natural": True, "columns": ["id"]}, {"is_natural": True, "on": F.lit(True)}, {"columns": ["x"]}, {"columns": ["id"], "on": F.lit(True)}):
+        with pytest.raises(ValueError):
+            joins.join(a, b, **wrong)
+    assert joins.join(a, b, columns=["id"]).count() == joins.join(a, b, is_natural=True).count() == 2
+    with pytest.raises(ValueError, match="misuse of window function lag"):
+        windows.misuse("lag", None)
+    with pytest.raises(ValueError):
+        core.match_("a", "b")
+
+
+def test_like_escapes(spark):
+    from marlstone.functions import core
+
+    cases = [("a%c", "A\\%C", "\\", True), ("abc", "a\\%c", "\\", False), ("axb", "aXxb", "X", True), ("ax", "a_", "_", False), ("a_", "a__", "_", True), ("ab", "ab!", "!", False), ("a.c\n", "A.c_", "!", True), ("Ä", "ä", "!", False)]
+    for text, pattern, escape, want in cases:
+        row = spark.range(1).select(core.like(F.lit(text), pattern, escape).alias("a"), core.like(F.lit(text), F.lit(pattern), escape).alias("b")).first()
+        assert (row["a"], row["b"]) == (want, want), (text, pattern)
