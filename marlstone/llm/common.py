@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.session import new_path, shared_dir, ship, staged
 
-__all__ = ["SPACE", "WORD", "ascii_lower", "new_path", "row_name", "shared_dir", "ship", "spread", "staged", "table", "word_count", "words"]
+__all__ = ["SPACE", "WORD", "arrow_rows", "ascii_lower", "new_path", "row_name", "shared_dir", "ship", "spread", "staged", "table", "word_count", "words"]
 
 #: One run of ASCII white space, as the contracts define it.
 SPACE = r"[\x20\x09-\x0D]"
@@ -21,6 +24,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Python workers get at most so many rows at once in what is run inside: long texts would fill their memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df in as many partitions as there are cores at least: a small table is often one file with one row group."""
     cores = df.sparkSession.sparkContext.defaultParallelism
