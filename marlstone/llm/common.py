@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from marlstone.session import new_path, shared_dir, ship, staged
 
-__all__ = ["SPACE", "WORD", "arrow_rows", "ascii_lower", "new_path", "row_name", "shared_dir", "ship", "spread", "staged", "table", "word_count", "words"]
+__all__ = ["SPACE", "WORD", "arrow_rows", "ascii_lower", "named_rows", "new_path", "row_name", "shared_dir", "ship", "spread", "staged", "table", "word_count", "words"]
 
 #: One run of ASCII white space, as the contracts define it.
 SPACE = r"[\x20\x09-\x0D]"
@@ -47,6 +47,15 @@ def row_name(key: str, text: str) -> Column:
     return F.struct(F.col(key).isNull().alias("missing"), F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("hash"))
 
 
+def named_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The name and the whole row, as a struct, of every row of docs.
+
+    The name is cast to the type that it has once it was staged, with nullable fields: a join would cast it otherwise,
+    and the rows, dealt by the cast, would be dealt again by the name."""
+    kind = f"struct<missing:boolean,id:{docs.schema[key].dataType.simpleString()},hash:bigint>"
+    return docs.select(row_name(key, text).cast(kind).alias("name"), F.struct("*").alias("row"))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z; other letters stay as they are."""
     return F.translate(text, _UPPER, _UPPER.lower())

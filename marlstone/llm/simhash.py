@@ -230,11 +230,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without near-duplicates: of each component the row with the least doc_id (null last, then by the hash of
     the text), as it is. Rows that share an id, or have none, are told apart by their texts; of rows alike in both,
-    one stays."""
-    chosen = near_duplicates(docs.select(common.row_name("doc_id", "text").alias("__row"), "text"), key="__row")
-    chosen = chosen.select(F.col("component_id").alias("__row")).distinct()
-    keyed = docs.withColumn("__row", common.row_name("doc_id", "text"))
-    return keyed.join(chosen, "__row", "left_semi").dropDuplicates(["__row"]).select(docs.columns)
+    one stays. Names of columns never clash: docs is carried whole, as one struct."""
+    chosen = near_duplicates(docs.select(common.row_name("doc_id", "text").alias("name"), "text"), key="name")
+    chosen = chosen.select(F.col("component_id").alias("name")).distinct()
+    return common.named_rows(docs, "doc_id", "text").join(chosen, "name", "left_semi").dropDuplicates(["name"]).select("row.*")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
