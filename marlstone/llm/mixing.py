@@ -189,8 +189,11 @@ def sample(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: int
     before = F.coalesce(F.sum("n").over(same.orderBy("content").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     dealt = alike.select("*", F.sum("n").over(same).alias("m"), before.alias("before")).join(chosen, F.expr("id <=> of_id AND key = of_key"))
     times = F.expr("(repeats DIV m) * n + greatest(0, least(n, repeats % m - before))")
-    times = dealt.select("of_id", "of_key", F.col("content").alias("of_content"), times.cast("long").alias("times")).where("times > 0")
-    joined = keyed.dropDuplicates(["id", "key", "content"]).join(times, F.expr("id <=> of_id AND key = of_key AND content = of_content"))
+    # One name of one type on both sides, so that the rows are dealt once: by it they are made distinct and joined.
+    name = "struct<id:string,key:bigint,content:bigint>"
+    times = dealt.select(F.struct("of_id", "of_key", "content").cast(name).alias("name"), times.cast("long").alias("times")).where("times > 0")
+    whole = keyed.select(F.struct("id", "key", "content").cast(name).alias("name"), "row")
+    joined = whole.dropDuplicates(["name"]).join(times, "name")
     return joined.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*")
 
 
