@@ -115,10 +115,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold a window of the benchmark; rows that share an id are told apart by their texts."""
-    named = docs.select(common.row_name("doc_id", "text").alias("__row"), "text")
-    bad = contamination(named, benchmark, key="__row").where("contaminated").select("__row").distinct()
-    return docs.withColumn("__row", common.row_name("doc_id", "text")).join(bad, "__row", "left_anti").select(docs.columns)
+    """docs without those that hold a window of the benchmark; rows that share an id are told apart by their texts.
+    Names of columns never clash: docs is carried whole, as one struct."""
+    named = docs.select(common.row_name("doc_id", "text").alias("name"), "text")
+    bad = contamination(named, benchmark, key="name").where("contaminated").select("name").distinct()
+    return common.named_rows(docs, "doc_id", "text").join(bad, "name", "left_anti").select("row.*")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -166,8 +166,9 @@ def rate(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "t
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that are kept, as they are."""
-    return judge(docs, ratios_of(docs, labels), "text", threshold).where("__quality.kept").select(docs.columns)
+    """The rows of docs that are kept, as they are. Names of columns never clash: docs is carried whole, as one struct."""
+    carried = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
+    return judge(carried, ratios_of(docs, labels), "text", threshold).where("__quality.kept").select("row.*")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

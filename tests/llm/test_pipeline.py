@@ -3,7 +3,7 @@ import re
 
 import corpus_pipeline
 
-from marlstone.llm import decontam, mixing, simhash
+from marlstone.llm import decontam, mixing, quality, simhash
 
 from .helpers import SF, frame
 
@@ -66,3 +66,20 @@ def test_mixture_keeps_the_columns_of_every_row(spark):
         if 99 not in times:
             own = [n for t, n in enumerate(shares) if (t % 2 == 0) == (times[0] % 2 == 0)]
             assert max(own) - min(own) <= 1
+
+
+def test_stages_give_clashing_columns_back(spark):
+    """Columns named as the stages' own are returned with their values, and rows without an id stay apart."""
+    rows = [(i if i % 3 else None, " ".join(f"w{i}x{j}" for j in range(60)), f"s{i % 2}") for i in range(9)]
+    names = ("__row", "__quality", "name", "row", "times", "content", "of_id", "of_key", "missing", "hash")
+    docs = frame(spark, rows, extra=False).selectExpr("*", *[f"concat('{n}', text) AS `{n}`" for n in names])
+    wanted = sorted(t for _, t, _ in rows)
+    benchmark = spark.createDataFrame([(1, "none of these words stands in any document of this test here")], "item_id bigint, text string")
+    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    for found in (simhash.keep_one(docs), decontam.drop_contaminated(docs, benchmark), mixing.sample(docs), quality.keep_good(docs, labels)):
+        assert found.columns == docs.columns
+        got = found.collect()
+        assert all(r[n] == n + r["text"] for r in got for n in names)
+        assert {r["text"] for r in got} <= set(wanted)
+    for kept in (simhash.keep_one(docs), decontam.drop_contaminated(docs, benchmark)):
+        assert sorted(r["text"] for r in kept.collect()) == wanted
