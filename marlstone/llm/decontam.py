@@ -1,10 +1,10 @@
 """Benchmark decontamination by a prefix-filtered set join.
 
 A window is ten consecutive words of a benchmark item (the whole item if it has fewer); a document holds it or not, so
-the containment is 1 and each window needs only the first of its shingles in the order of rarity: its rarest one. The
-documents' shingles meet the benchmark's, whose hits are counted over the corpus; every window is then joined on its
-rarest shingle alone, bounds on place and length drop what can't hold it, and the words themselves are compared.
-All of it is DataFrame operations.
+the containment is 1 and the prefix of each window is one shingle: its rarest by the number of windows that hold it
+(ties: the lesser hash). Only these prefix shingles are probed, for all lengths in one pass over the documents; in the
+same task bounds on place and length drop what can't hold the window, and a hash of the words at its place drops what
+doesn't. What is left is compared word by word. All of it is DataFrame operations.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from . import common
 from .spans import let
 
 WINDOW, SHINGLE = 10, 5
-#: Shingle hashes that are broadcast at once; a larger benchmark is probed in several parts.
+#: Windows (four numbers each) that are broadcast at once; a larger benchmark is probed in several parts.
 BROADCAST_ROWS = 1_000_000
 SALTS = 8
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -48,16 +48,27 @@ def item_windows(benchmark: DataFrame, key: str, text: str) -> DataFrame:
     return items.where(F.size("all") > 0).select("item", F.explode(cut).alias("words")).withColumn("length", F.size("words"))
 
 
-def _probe(docs: DataFrame, hashes: DataFrame, k: int, first: bool) -> DataFrame:
-    """Where documents hold shingles of the benchmark, with the words around; with ``first``, a row at place -1 for
-    every document as well."""
-    own = shingle_hashes(F.col("words"), k)
-    exploded = docs.select("row", "key", "words", F.size("words").alias("n_words"), F.posexplode(F.concat(F.array(F.lit(None).cast("bigint")), own)).alias("at", "hash"))
-    kept = exploded.join(F.broadcast(hashes.withColumnRenamed("hash", "known")), F.col("hash") == F.col("known"), "left")
-    kept = kept.where(F.col("known").isNotNull() | (F.col("at") == 0)) if first else kept.where(F.col("known").isNotNull())
-    begin = F.greatest(F.col("at") - 1 - (WINDOW - SHINGLE), F.lit(0))
-    around = F.when(F.col("known").isNotNull(), F.slice("words", begin + 1, F.lit(2 * WINDOW - SHINGLE)))
-    return kept.select("row", "key", "n_words", (F.col("at") - 1).alias("at"), "hash", begin.alias("begin"), around.alias("around"))
+def _probe(docs: DataFrame, prefix: DataFrame, lengths: list[int], first: bool) -> DataFrame:
+    """Where documents hold windows by the hash of all their words, with those words; with ``first``, a row without a
+    class for every document as well."""
+    own = [shingle_hashes(F.col("words"), k) for k in lengths]
+    marked = F.concat(F.array(F.lit(None).cast("bigint")), *own)
+    exploded = docs.select("row", "key", "words", F.size("words").alias("n_words"), F.posexplode(marked).alias("pos", "hash"))
+    met = exploded.join(F.broadcast(prefix.withColumnRenamed("hash", "known")), F.col("hash") == F.col("known"), "left")
+    at, before = F.lit(None).cast("int"), F.lit(1)  # the lists of all lengths lie one behind the other
+    places = []
+    for k in lengths:
+        end = before + F.greatest(F.col("n_words") - k + 1, F.lit(0))
+        places.append((end, F.col("pos") - before))
+        before = end
+    for end, place in reversed(places):
+        at = F.when(F.col("pos") < end, place).otherwise(at)
+    start = at - F.col("offset")
+    fits = (start >= 0) & (start + F.col("length") <= F.col("n_words"))
+    held = F.when(fits, F.slice("words", start + 1, F.col("length")))
+    same = F.coalesce(F.col("known").isNotNull() & (F.xxhash64(held) == F.col("class")), F.lit(False))
+    kept = met.where((F.col("pos") == 0) | same if first else same)
+    return kept.select("row", "key", "n_words", F.when(same, F.col("class")).alias("class"), F.when(same, start).alias("start"), F.when(same, held).alias("held"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -72,34 +83,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     classes = windows.select("words", "length").distinct().withColumn("class", F.xxhash64("words"))
     k = F.least(F.col("length"), F.lit(SHINGLE))
     by_length = [F.when(k == n, shingle_hashes(F.col("words"), n)) for n in range(1, SHINGLE + 1)]
-    shingles = common.staged(classes.select("class", "words", "length", k.alias("k"), F.posexplode(F.coalesce(*by_length)).alias("offset", "hash")), "window-shingles")
-    counts = {r["k"]: r["n"] for r in shingles.groupBy("k").agg(F.count_distinct("hash").alias("n")).collect()}
+    shingles = common.staged(classes.select("class", "length", k.alias("k"), F.posexplode(F.coalesce(*by_length)).alias("offset", "hash")), "window-shingles")
+
+    rarity = shingles.groupBy("hash").agg(F.count_distinct("class").alias("n"))
+    rarest = shingles.join(rarity, "hash").groupBy("class", "length", "k").agg(F.min(F.struct("n", "hash", "offset")).alias("r"))
+    prefix = common.staged(rarest.select("class", "length", "k", "r.hash", "r.offset"), "window-prefixes")
+    counts = {r["k"]: r["n"] for r in prefix.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
+    lengths = sorted(counts.keys() | {SHINGLE}, reverse=True)
+    parts = max(1, -(-sum(counts.values()) // BROADCAST_ROWS))
 
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), item_words(F.col(text)).alias("words"))
-    probes, first = [], True
-    for n in sorted(counts.keys() | {SHINGLE}, reverse=True):
-        parts = max(1, -(-counts.get(n, 0) // BROADCAST_ROWS))
-        own = shingles.where(F.col("k") == n).select("hash").distinct()
-        for p in range(parts):
-            part = own.where(F.pmod("hash", F.lit(parts)) == p) if parts > 1 else own
-            probes.append(_probe(texts, part, n, first))
-            first = False
-    found = probes[0]
-    for other in probes[1:]:
-        found = found.unionByName(other)
+    found = None
+    for p in range(parts):
+        part = prefix.where(F.pmod("class", F.lit(parts)) == p) if parts > 1 else prefix
+        probe = _probe(texts, part.drop("k"), lengths, p == 0)
+        found = probe if found is None else found.unionByName(probe)
     found = common.staged(found, "benchmark-hits")
-    hits = found.where("at >= 0")
-
-    rarity = hits.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
-    # The prefix: each window's rarest shingle. A shingle that no document holds leaves its window without a match.
-    rarest = shingles.join(rarity, "hash", "left").groupBy("class", "words", "length").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "hash")).alias("r"))
-    prefix = rarest.where("r.n > 0").select("class", F.col("words").alias("wanted"), "length", "r.offset", "r.hash")
-    prefix = prefix.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    near = hits.withColumn("salt", F.pmod(F.xxhash64("row", "at"), F.lit(SALTS)).cast("int")).join(prefix, ["hash", "salt"])
-    near = near.withColumn("start", F.col("at") - F.col("offset"))
-    near = near.where("start >= 0 AND start + length <= n_words")
-    held = near.where(F.slice("around", F.col("start") - F.col("begin") + 1, F.col("length")) == F.col("wanted"))
-    matches = common.staged(held.select("row", "class", "start", (F.col("start") + F.col("length")).alias("end")).distinct(), "benchmark-matches")
+
+    wanted = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select("class", "salt", F.col("words").alias("wanted"), "length")
+    near = found.where(F.col("class").isNotNull()).withColumn("salt", F.pmod(F.xxhash64("row", "start"), F.lit(SALTS)).cast("int"))
+    held = near.join(wanted, ["class", "salt"]).where(F.col("held") == F.col("wanted"))
+    matches = common.staged(held.select("row", "class", "start", (F.col("start") + F.col("length")).alias("end")), "benchmark-matches")
 
     earlier = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     reached = F.greatest("start", F.coalesce(F.max("end").over(earlier), F.lit(0)))
@@ -108,7 +112,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     of_row = matches.select("row", "class").distinct().join(owners, "class").select("row", "item").distinct()
     items = of_row.groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("items"))
 
-    out = found.where("at < 0").select("row", "key", "n_words").join(n_hit, "row", "left").join(items, "row", "left")
+    out = found.where("class IS NULL").select("row", "key", "n_words").join(n_hit, "row", "left").join(items, "row", "left")
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     listed = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(F.col("key").alias(key), F.col("n_words").cast("long").alias("n_words"), hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
