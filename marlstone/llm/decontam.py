@@ -19,13 +19,12 @@ WINDOW, SHINGLE = 10, 5
 #: Windows (four numbers each) that are broadcast at once; a larger benchmark is probed in several parts.
 BROADCAST_ROWS = 1_000_000
 SALTS = 8
-_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]++"
 
 
 def item_words(text: Column) -> Column:
     """Lower-cased (A-Z) runs of ASCII letters, digits and all characters beyond ASCII."""
-    flat = F.btrim(F.regexp_replace(common.ascii_lower(F.coalesce(text, F.lit(""))), _GAP, " "), F.lit(" "))
-    return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " ", -1))
+    return F.array_remove(F.split(common.ascii_lower(F.coalesce(text, F.lit(""))), _GAP, -1), "")
 
 
 def shingle_hashes(words: Column, k: int) -> Column:
