@@ -63,8 +63,7 @@ def ascii_lower(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """The words of a text (null: none) as an array."""
-    flat = F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), f"{SPACE}+", " "), F.lit(" "))
-    return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " ", -1))
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{SPACE}++", -1), "")
 
 
 def word_count(text: Column) -> Column:

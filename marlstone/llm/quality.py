@@ -32,17 +32,14 @@ def _ending(word: Column, buckets: int) -> Column:
     return _bucket(F.xxhash64(F.lit(3), F.substring(word, -3, 3)), buckets)
 
 
-def _pair(here: Column, following: Column, buckets: int) -> Column:
-    """Of two words' hashes; the following one is null at the end."""
-    return _bucket(F.xxhash64(here, following), buckets)
-
-
 def word_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _after(array: Column) -> Column:
-    return F.slice(array, F.lit(2), F.greatest(F.size(array) - 1, F.lit(0)))
+def pair_hashes(hashes: Column) -> Column:
+    """Of every word's hash and the following one, which is null at the end."""
+    after = F.slice(hashes, F.lit(2), F.greatest(F.size(hashes) - 1, F.lit(0)))
+    return F.zip_with(hashes, after, lambda a, b: F.xxhash64(a, b))
 
 
 def bucket_counts(docs: DataFrame, trusted: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
@@ -50,11 +47,10 @@ def bucket_counts(docs: DataFrame, trusted: DataFrame, key: str, text: str, buck
     worded = docs.select(F.col(key).alias("key"), common.words(F.col(text)).alias("words"))
     marked = worded.join(F.broadcast(trusted.select(F.col(key).alias("trusted"))), F.col("key") == F.col("trusted"), "left")
 
-    def grams(hashes: Column) -> Column:
-        single = F.transform(hashes, lambda h: _bucket(h, buckets))
-        return F.concat(single, F.zip_with(hashes, _after(hashes), lambda a, b: _pair(a, b, buckets)), F.transform("words", lambda w: _ending(w, buckets)))
-
-    exploded = marked.select(F.col("trusted").isNotNull().alias("target"), F.explode(let(word_hashes(F.col("words")), grams)).alias("bucket"))
+    hashed = marked.select(F.col("trusted").isNotNull().alias("target"), "words", word_hashes(F.col("words")).alias("hashes"))
+    placed = hashed.select("target", "words", "hashes", F.posexplode("hashes").alias("at", "hash"))
+    grams = F.array(_bucket(F.col("hash"), buckets), _bucket(F.xxhash64("hash", F.get("hashes", F.col("at") + 1)), buckets), _ending(F.get("words", F.col("at")), buckets))
+    exploded = placed.select("target", F.explode(grams).alias("bucket"))
     return exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count_if("target").alias("target"))
 
 
@@ -71,25 +67,25 @@ def log_ratios(counts: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR)
     return [math.log((t + prior) / (n * scale + prior)) if scale else 0.0 for t, n in zip(target, raw, strict=True)]
 
 
-def score(words: Column, hashes: Column, ratios: list[float]) -> Column:
-    """The mean log ratio of a text's n-grams, from its words and their hashes; 0 without words."""
+def score(words: Column, hashes: Column, pairs: Column, ratios: list[float]) -> Column:
+    """The mean log ratio of a text's n-grams, from its words, their hashes and those of the pairs; 0 without words."""
     buckets = len(ratios)
     # As one string literal that the optimizer folds to an array.
     table = F.split(F.lit(",".join(f"{x:.5g}" for x in ratios)), ",").cast("array<double>")
-    each = F.zip_with(hashes, _after(hashes), lambda a, b: F.get(table, _bucket(a, buckets)) + F.get(table, _pair(a, b, buckets)))
+    each = F.zip_with(hashes, pairs, lambda a, p: F.get(table, _bucket(a, buckets)) + F.get(table, _bucket(p, buckets)))
     total = F.aggregate(each, F.lit(0.0), lambda done, x: done + x) + F.aggregate(words, F.lit(0.0), lambda done, w: done + F.get(table, _ending(w, buckets)))
     return F.when(F.size(words) > 0, total / (3 * F.size(words))).otherwise(0.0)
 
 
-def repeated_words(words: Column) -> Column:
-    """Words, given by their hashes, that lie in 3-word windows found twice or more in the text.
+def repeated_words(hashes: Column, pairs: Column) -> Column:
+    """Words, given by their hashes and those of the pairs, that lie in 3-word windows found twice or more in the text.
 
     Windows are hashed and sorted with their places; equal neighbours give the places, and places in order give the
     words that they cover. Only texts with a repeated window are sorted.
     """
 
     def of(hashes: Column) -> Column:
-        pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        marked = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
         def places(ordered: Column) -> Column:
             after = F.slice(ordered, F.lit(2), F.size(ordered) - 1)
@@ -101,13 +97,12 @@ def repeated_words(words: Column) -> Column:
             return F.aggregate(gaps, F.lit(0), lambda done, x: done + x)
 
         repeats = F.size(F.array_distinct(hashes)) < F.size(hashes)
-        return F.when(repeats, let(let(pairs, places), covered)).otherwise(0)
+        return F.when(repeats, let(let(marked, places), covered)).otherwise(0)
 
-    def windows(single: Column) -> Column:
-        at = F.sequence(F.lit(0), F.size(single) - 3)
-        return F.transform(at, lambda i: F.xxhash64(F.get(single, i), F.get(single, i + 1), F.get(single, i + 2)))
+    def windows(n: Column) -> Column:
+        return F.zip_with(F.slice(pairs, F.lit(1), n), F.slice(hashes, F.lit(3), n), lambda p, c: F.xxhash64(p, c))
 
-    return F.when(F.size(words) > 3, let(windows(words), of)).otherwise(0)
+    return F.when(F.size(hashes) > 3, let(windows(F.size(hashes) - 2), of)).otherwise(0)
 
 
 def repeated_lines(text: Column) -> Column:
@@ -138,17 +133,17 @@ def judge(docs: DataFrame, ratios: list[float], text: str = "text", threshold: f
         kept = ~failed & (m["score"] >= threshold)
         return F.struct(*measures, failed.alias("base_failed"), m["score"].alias("score"), kept.alias("kept"))
 
-    def measured(words: Column, hashes: Column) -> Column:
+    def measured(words: Column, hashes: Column, pairs: Column) -> Column:
         return F.struct(
             F.size(words).cast("long").alias("n_words"),
             F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
             F.regexp_count(whole, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
             repeated_lines(whole).cast("long").alias("n_dup_lines"),
-            repeated_words(hashes).cast("long").alias("n_repeat_words"),
-            F.round(score(words, hashes, ratios), 9).alias("score"),
+            repeated_words(hashes, pairs).cast("long").alias("n_repeat_words"),
+            F.round(score(words, hashes, pairs, ratios), 9).alias("score"),
         )
 
-    found = let(common.words(whole), lambda w: let(word_hashes(w), lambda h: let(measured(w, h), verdict)))
+    found = let(common.words(whole), lambda w: let(word_hashes(w), lambda h: let(pair_hashes(h), lambda p: let(measured(w, h, p), verdict))))
     return docs.withColumn("__quality", found)
 
 
