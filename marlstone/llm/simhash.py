@@ -27,6 +27,8 @@ from . import common
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Fingerprints of a bucket up to which it is compared as it is; beyond, it is dealt out once more.
 LARGE = 2048
+#: Texts that a Python worker gets at once: with long texts the default number of rows would fill its memory.
+TEXT_ROWS = 256
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -215,7 +217,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     repeated rows have the same fingerprint and so the same component; a component whose keys are all null has a
     null id; an empty table gives an empty result; other columns are not read. Very long texts are hashed whole.
     """
-    marked = common.staged(fingerprints(docs, key, text, shingle), "simhash-fingerprints")
+    with common.arrow_rows(docs.sparkSession, TEXT_ROWS):
+        marked = common.staged(fingerprints(docs, key, text, shingle), "simhash-fingerprints")
     classes = marked.groupBy("fp").agg(F.min("key").alias("least"))
     found = components(near_links(classes.select("fp"), radius))
     # Classes without a link are components of their own.
