@@ -316,6 +316,52 @@ def test_language_model_reads_every_token_in_context(spark):
     assert learnt["bits_per_byte"] < 0.8 * other["bits_per_byte"]
 
 
+def test_language_model_keeps_every_context():
+    """Whatever the number of contexts, each keeps the token that followed it: what was read is likely, all of it."""
+    from marlstone.llm import ctxmix
+
+    words = [f"w{i}".encode() for i in range(300)]
+    random_ = np.random.default_rng(8)
+    train = [b" ".join(words[i] for i in random_.integers(0, len(words), 1000)) for _ in range(200)]
+    counts = collections.Counter(w for t in train for w in t.split())
+    frequent = sorted(words, key=lambda w: -counts[w])
+    model = ctxmix.fit(train, frequent, [counts[w] for w in frequent])
+    some = train[::20]
+    costs = -model.costs(some) / math.log10(2) / 1001
+    assert costs.max() < 4  # bits a token; the words alone have 8.2, and 7.2 where contexts share 2^18 slots
+
+
+def test_language_model_matches_as_brute_force():
+    """The votes of a token's contexts are those of all their occurrences, in whatever parts they are counted."""
+    from marlstone.llm import ctxmix
+
+    rng = random.Random(3)
+    text = lambda n: b" ".join(rng.choices([b"a", b"b", b"c", b"d", b"zz"], [8, 4, 2, 1, 1], k=n))
+    code = ctxmix.Code.fitted([b"a", b"b", b"c", b"d"], np.array([8, 4, 2, 1]), 9, 1)
+    train, other = [text(60) for _ in range(40)], [text(60) for _ in range(10)]
+    votes = [collections.defaultdict(collections.Counter) for _ in ctxmix.ORDERS]
+    walk = lambda t: [([b"\n"] * 4 + (ws := t.split() + [b"\n"]))[i : i + 5] for i in range(len(t.split()) + 1)]
+    for t in train:
+        for five in walk(t):
+            for v, order in zip(votes, ctxmix.ORDERS, strict=True):
+                v[tuple(five[4 - order : 4])][five[4]] += 1
+    (trained,), (batch,) = list(ctxmix.batches(train, code)), list(ctxmix.batches(other, code))
+    found = ctxmix.matches(batch, ctxmix.asks(trained, True)[0], code)
+    asked, begins, place = ctxmix.asks(batch, False, 7)
+    dealt, dealt_begins, _ = ctxmix.asks(trained, True, 7)
+    by_part = []
+    for p in range(7):
+        pieces = [dealt[:, dealt_begins[p] : dealt_begins[p + 1]], asked[:, begins[p] : begins[p + 1]]]
+        by_part.append(ctxmix.answers(np.concatenate(pieces, axis=1), code)[:, pieces[0].shape[1] :])
+    assert np.array_equal(np.concatenate(by_part, axis=1)[:, place], found)
+    for k in range(len(ctxmix.ORDERS)):
+        for i, five in enumerate(five for t in other for five in walk(t)):
+            most = votes[k][tuple(five[4 - ctxmix.ORDERS[k] : 4])].most_common(2)
+            lead = most[0][1] - (most[1][1] if len(most) > 1 else 0) if most else 0
+            assert found[2 * k, i] == min(lead, ctxmix.MOST_VOTES)
+            assert not lead or (found[2 * k + 1, i] == ctxmix.SAME) == (most[0][0] == five[4])
+
+
 def test_batches_carry_contexts(monkeypatch):
     """A document costs the same wherever batches and parts cut it, whatever comes before it, and as one of many."""
     from marlstone.llm import ctxmix
