@@ -377,3 +377,46 @@ def test_batches_carry_contexts(monkeypatch):
     assert np.allclose(model.costs(documents), whole)
     body = next(ctxmix.batches(documents, model.code)).to_bytes()
     assert ctxmix.Batch.from_bytes(body).to_bytes() == body
+
+
+def test_language_model_memory():
+    """What a worker holds at once: the counting of contexts takes few numbers an ask, and what is broadcast arrives as
+    itself, without the lexicon's words where symbols are enough."""
+    import pickle
+    import tracemalloc
+
+    from marlstone.llm import ctxmix
+
+    words = [f"w{i}".encode() for i in range(1000)]
+    code = ctxmix.Code.fitted(words, np.arange(1000, 0, -1), 7, 3)
+    asked = np.random.default_rng(1).integers(0, 1000, (6, 200_000)).astype(np.uint32)
+    tracemalloc.start()
+    try:
+        found = ctxmix.answers(asked, code)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 130 * asked.shape[1]
+    arrived = pickle.loads(pickle.dumps(lmscore._Packed(code.bare())))
+    assert not arrived.symbols and arrived.words == code.words
+    assert np.array_equal(ctxmix.answers(asked, arrived), found)
+
+
+def test_long_values_are_staged_in_small_groups(spark):
+    """A row group is read whole; a hundred rows of a batch each are too many for one."""
+    from pyspark.sql import functions as F
+
+    from marlstone.session import staged
+
+    body = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(1 << 14)), lambda i: F.md5(F.concat_ws(" ", "id", i))), "")
+    df = staged(spark.range(0, 60, 1, 1).select("id", body.alias("body")), "long", bodies=True)
+    groups = [f.metadata.row_group(g) for f in map(_parquet, df.inputFiles()) for g in range(f.metadata.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == df.count() == 60
+    assert max(g.num_rows for g in groups) <= 32  # of 0.5 MB each, which hardly shrink
+    assert df.select("id", F.length("body").alias("n")).agg(F.sum("id"), F.min("n")).first()[:] == (1770, 1 << 19)
+
+
+def _parquet(path):
+    import pyarrow.parquet as pq
+
+    return pq.ParquetFile(path.removeprefix("file:").replace("///", "/"))
