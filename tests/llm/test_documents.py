@@ -402,6 +402,27 @@ def test_language_model_memory():
     assert np.array_equal(ctxmix.answers(asked, arrived), found)
 
 
+def test_language_model_memory_of_the_driver():
+    """The frequent tokens' table, the driver's largest, isn't copied as a whole."""
+    import tracemalloc
+
+    from marlstone.llm import ctxmix
+
+    width, rng = 2 << ctxmix.LINE_BITS, np.random.default_rng(2)
+    whole = rng.integers(0, 9, (60_000, width)).astype(np.uint32) * (rng.random(60_000) < 0.7)[:, None].astype(np.uint32)
+    tracemalloc.start()
+    try:
+        table, lines = ctxmix.line_up(whole.size, ((lo * width, whole[lo : lo + 4096]) for lo in range(0, len(whole), 4096)))
+        tracemalloc.reset_peak()
+        odds = ctxmix.odds_of(table)
+        peak = tracemalloc.get_traced_memory()[1] - table.nbytes
+    finally:
+        tracemalloc.stop()
+    assert np.array_equal(table.reshape(-1, width)[lines], whole)
+    assert np.array_equal(odds, np.log((table[1::2] + ctxmix.DELTA) / (table[0::2] + ctxmix.DELTA)).astype(np.float32))
+    assert peak < 1.2 * table.nbytes
+
+
 def test_long_values_are_staged_in_small_groups(spark):
     """A row group is read whole; a hundred rows of a batch each are too many for one."""
     from pyspark.sql import functions as F
